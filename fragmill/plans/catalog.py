@@ -1,4 +1,626 @@
-"""Every query of the engine with its SQL."""
+"""Every query of the engine, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import math
+import tempfile
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import formats, kmers
+from ..operators import assign, bias, collapse, estimate, lengths, mapping, resample, rollup
+from ..streaming import accumulate
+from .bindings import HITS, SEQUENCES, TARGETS, hits, sequences, table, targets
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _text(label: str = "label"):
+    return F.array_join(F.transform(label, lambda t: t.cast("string")), ",").alias("label")
+
+
+STEPS, MAX_LEN, MEAN, SD = 10, 1000, 200.0, 80.0
+
+# ---- formats ------------------------------------------------------------------------------------
+
+_FMT = "fmt(name, type, orientation, strandedness) AS (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c})" for n, (a, b, c) in formats.FORMATS.items()) + ")"
+
+
+@query("libfmt_parse", f"WITH {_FMT} SELECT lower(name) AS name, type, orientation, strandedness FROM fmt")
+def _(spark, sf):
+    t = formats.format_table(spark).select(F.lower("name").alias("name"))
+    return t.select("name", formats.parse(F.col("name")).alias("f")).select("name", "f.*")
+
+
+@query("libfmt_id_roundtrip", f"WITH {_FMT} SELECT name, type + 2 * orientation + 8 * strandedness AS id, type, orientation, strandedness FROM fmt")
+def _(spark, sf):
+    t = formats.format_table(spark).withColumn("id", formats.format_id(F.col("type"), F.col("orientation"), F.col("strandedness")))
+    return t.select("name", "id", formats.from_id(F.col("id")).alias("f")).select("name", "id", "f.*")
+
+
+@query("libfmt_valid", """WITH t AS (SELECT a.range AS type, b.range AS orientation, c.range AS strandedness FROM range(2) a, range(4) b, range(5) c)
+ SELECT type, orientation, strandedness, (type = 0 AND orientation = 3 AND strandedness >= 2) OR (type = 1 AND ((orientation = 0 AND strandedness >= 2) OR (orientation IN (1, 2) AND strandedness IN (0, 1, 4)))) AS valid FROM t""")
+def _(spark, sf):
+    t = spark.range(40).select((F.col("id") % 2).alias("type"), (F.floor(F.col("id") / 2) % 4).alias("orientation"), F.floor(F.col("id") / 8).alias("strandedness"))
+    return t.withColumn("valid", formats.valid(F.col("type"), F.col("orientation"), F.col("strandedness")))
+
+
+@query("compat_paired", f"""WITH {_FMT} SELECT e.name AS expected, o.name AS observed, e.orientation = o.orientation AND (e.strandedness = 4 OR e.strandedness = o.strandedness) AS compatible
+ FROM fmt e, fmt o WHERE o.type = 1 AND o.strandedness <> 4""")
+def _(spark, sf):
+    e = formats.format_table(spark)
+    o = e.where("type = 1 AND strandedness <> 4").select(F.col("name").alias("observed"), F.col("orientation").alias("oo"), F.col("strandedness").alias("os"))
+    return e.crossJoin(F.broadcast(o)).select(F.col("name").alias("expected"), "observed", formats.compatible_pair(F.col("orientation"), F.col("strandedness"), F.col("oo"), F.col("os")).alias("compatible"))
+
+
+_STATUS = "(VALUES ('PAIRED_END_LEFT'), ('PAIRED_END_RIGHT'), ('SINGLE_END')) s(mate_status)"
+
+
+@query("compat_single", f"""WITH {_FMT} SELECT name AS expected, fwd, mate_status, CASE WHEN strandedness = 4 THEN true WHEN orientation = 0 THEN (strandedness = 2 AND fwd) OR (strandedness = 3 AND NOT fwd)
+ WHEN strandedness = 2 THEN fwd <> (mate_status = 'PAIRED_END_RIGHT') WHEN strandedness = 3 THEN fwd = (mate_status = 'PAIRED_END_RIGHT') ELSE false END AS compatible
+ FROM fmt, (VALUES (true), (false)) f(fwd), {_STATUS}""")
+def _(spark, sf):
+    cases = spark.createDataFrame([(f, s) for f in (True, False) for s in ("PAIRED_END_LEFT", "PAIRED_END_RIGHT", "SINGLE_END")], "fwd boolean, mate_status string")
+    x = formats.format_table(spark).crossJoin(F.broadcast(cases))
+    return x.select(F.col("name").alias("expected"), "fwd", "mate_status", formats.compatible_single(F.col("orientation"), F.col("strandedness"), F.col("fwd"), F.col("mate_status")).alias("compatible"))
+
+
+def _hit_type_sql(dovetail: bool) -> str:
+    d1, d2 = ("mate_len", "read_len") if dovetail else ("0", "0")
+    return f"""typed AS (SELECT *, CASE WHEN fwd AND NOT mate_fwd THEN CASE WHEN s1 <= s2 + {d1} THEN 2 ELSE 1 END WHEN NOT fwd AND mate_fwd THEN CASE WHEN s2 <= s1 + {d2} THEN 2 ELSE 1 END ELSE 0 END AS orientation,
+ CASE WHEN fwd AND NOT mate_fwd THEN 0 WHEN NOT fwd AND mate_fwd THEN 1 WHEN fwd THEN 2 ELSE 3 END AS strandedness FROM (
+ SELECT *, CASE WHEN fwd THEN pos ELSE pos + read_len END AS s1, CASE WHEN mate_fwd THEN mate_pos ELSE mate_pos + mate_len END AS s2 FROM hits))"""
+
+
+def _hit_types(spark, sf, dovetail):
+    h = hits(spark, sf)
+    s1, s2 = assign.five_prime(F.col("pos"), F.col("fwd"), F.col("read_len")), assign.five_prime(F.col("mate_pos"), F.col("mate_fwd"), F.col("mate_len"))
+    return h.select(formats.hit_type(s1, F.col("fwd"), F.col("read_len"), s2, F.col("mate_fwd"), F.col("mate_len"), dovetail).alias("f")).groupBy("f.orientation", "f.strandedness").agg(F.count("*").alias("n"))
+
+
+for _name, _dovetail in (("hit_type", False), ("hit_type_dovetail", True)):
+    query(_name, f"WITH {HITS}, {_hit_type_sql(_dovetail)} SELECT orientation, strandedness, count(*) AS n FROM typed GROUP BY ALL")(lambda spark, sf, d=_dovetail: _hit_types(spark, sf, d))
+
+# ---- assignment ---------------------------------------------------------------------------------
+
+CEILING = 5
+_COMPAT = """compat AS (SELECT *, CASE WHEN mate_status = 'PAIRED_END_PAIRED' THEN orientation = 2 ELSE true END AS compat FROM typed)"""
+_CHOSEN = f"{HITS}, {_hit_type_sql(False)}, {_COMPAT}, chosen AS (SELECT * FROM (SELECT *, bool_or(compat) OVER (PARTITION BY frag_id) AS a FROM compat) WHERE compat OR NOT a)"
+_STRANDED = """CASE WHEN mate_status = 'PAIRED_END_PAIRED' THEN orientation = 2 AND strandedness = 0 ELSE false END"""
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.groupBy("frag_id").agg(F.count("*").alias("n_hits"), F.sum("tid").cast("long").alias("tid_sum"))
+
+
+_KEPT = "SELECT frag_id, count(*) AS n_hits, sum(tid)::BIGINT AS tid_sum FROM {} GROUP BY frag_id"
+
+
+@query("max_read_occ", f"WITH {HITS}, x AS (SELECT *, count(*) OVER (PARTITION BY frag_id) AS c FROM hits), k AS (SELECT * FROM x WHERE c <= {CEILING}) " + _KEPT.format("k"))
+def _(spark, sf):
+    return _kept(assign.ceiling(hits(spark, sf), CEILING))
+
+
+@query("discard_orphans", f"WITH {HITS}, x AS (SELECT *, first_value(mate_status) OVER (PARTITION BY frag_id ORDER BY hit_ord) AS f FROM hits), k AS (SELECT * FROM x WHERE f = 'PAIRED_END_PAIRED') " + _KEPT.format("k"))
+def _(spark, sf):
+    return _kept(assign.without_orphans(hits(spark, sf)))
+
+
+@query("compat_preference", f"WITH {_CHOSEN} " + _KEPT.format("chosen"))
+def _(spark, sf):
+    return _kept(assign.chosen(hits(spark, sf)))
+
+
+@query("enforce_compat", f"WITH {HITS}, {_hit_type_sql(False)}, k AS (SELECT * FROM typed WHERE {_STRANDED}) " + _KEPT.format("k"))
+def _(spark, sf):
+    return _kept(assign.chosen(hits(spark, sf), assign.Options(lib_type="ISF", enforce_compat=True)))
+
+
+@query("ignore_compat", f"WITH {HITS} " + _KEPT.format("hits"))
+def _(spark, sf):
+    return _kept(assign.chosen(hits(spark, sf), assign.Options(ignore_compat=True)))
+
+
+@query("orphan_merge", f"WITH {HITS} SELECT frag_id, array_to_string(list_sort(list(tid)), ',') AS label FROM hits WHERE mate_status <> 'PAIRED_END_PAIRED' GROUP BY frag_id")
+def _(spark, sf):
+    h = hits(spark, sf)
+    both = h.where(F.col("mate_status") == assign.LEFT).unionByName(h.where(F.col("mate_status") == assign.RIGHT))
+    return assign.labels(both).select("frag_id", _text())
+
+
+@query("mate_intersect_strict", f"""WITH {HITS}, l AS (SELECT DISTINCT frag_id, tid FROM hits WHERE fwd), r AS (SELECT DISTINCT frag_id, tid FROM hits WHERE mate_fwd),
+ j AS (SELECT coalesce(l.frag_id, r.frag_id) AS frag_id, coalesce(l.tid, r.tid) AS tid, l.tid IS NOT NULL AS a, r.tid IS NOT NULL AS b FROM l FULL JOIN r ON l.frag_id = r.frag_id AND l.tid = r.tid),
+ x AS (SELECT *, bool_or(a AND b) OVER (PARTITION BY frag_id) AS any_both FROM j)
+ SELECT frag_id, tid, CASE WHEN a AND b THEN 'PAIRED_END_PAIRED' WHEN a THEN 'PAIRED_END_LEFT' ELSE 'PAIRED_END_RIGHT' END AS kind FROM x WHERE (a AND b) OR NOT any_both""")
+def _(spark, sf):
+    h = hits(spark, sf)
+    return assign.strict_intersection(h.where("fwd").select("frag_id", "tid").distinct(), h.where("mate_fwd").select("frag_id", "tid").distinct())
+
+
+_FWD = "CASE WHEN mate_status = 'PAIRED_END_RIGHT' THEN NOT fwd ELSE fwd END"
+
+
+@query("frag_counters", f"""WITH {_CHOSEN}, a AS (SELECT count(DISTINCT frag_id) AS observed, count(*) AS total_hits FROM hits),
+ b AS (SELECT count(DISTINCT frag_id) AS mapped, count(*) FILTER ({_FWD}) AS n_fwd, count(*) FILTER (NOT ({_FWD})) AS n_rc FROM chosen) SELECT *, mapped / observed AS mapping_rate FROM a, b""")
+def _(spark, sf):
+    h = hits(spark, sf)
+    return assign.counters(h, assign.chosen(h))
+
+
+_UNIQUE = "uniq AS (SELECT frag_id, any_value(frag_len) AS frag_len FROM hits GROUP BY frag_id HAVING count(*) = 1 AND any_value(mate_status) = 'PAIRED_END_PAIRED' AND any_value(frag_len) < 1000 ORDER BY frag_id LIMIT 10000)"
+_FLD = f"{HITS}, {_UNIQUE}, fld AS (SELECT r.range AS len, count(u.frag_id) AS n FROM range({MAX_LEN}) r LEFT JOIN uniq u ON u.frag_len = r.range GROUP BY r.range)"
+
+
+def _fld(spark, sf):
+    return assign.length_histogram(assign.unique_pairs(hits(spark, sf)), MAX_LEN)
+
+
+@query("unique_hits", f"WITH {HITS}, {_UNIQUE} SELECT frag_id, frag_len FROM uniq")
+def _(spark, sf):
+    return assign.unique_pairs(hits(spark, sf))
+
+
+@query("fld_hist", f"WITH {_FLD} SELECT len, n FROM fld")
+def _(spark, sf):
+    return _fld(spark, sf)
+
+
+# ---- classes ------------------------------------------------------------------------------------
+
+_LABELS = f"{HITS}, labels AS (SELECT frag_id, list_sort(list(tid)) AS label FROM hits GROUP BY frag_id), eq AS (SELECT label, count(*) AS count FROM labels GROUP BY label)"
+_EFF = "eff AS (SELECT tid, length, length - 100.0 AS eff_length FROM targets)"
+
+
+def _eq(spark, sf):
+    return collapse.classes(assign.labels(hits(spark, sf)))
+
+
+def _eff(spark, sf):
+    return targets(spark, sf).select("tid", "length", (F.col("length") - 100.0).alias("eff_length"))
+
+
+@query("eq_classes", f"WITH {_LABELS} SELECT array_to_string(label, ',') AS label, count FROM eq")
+def _(spark, sf):
+    return _eq(spark, sf).select(_text(), "count")
+
+
+@query("eq_classes_by_gene", f"WITH {HITS}, {TARGETS}, labels AS (SELECT frag_id, list_sort(list(DISTINCT gene)) AS label FROM hits JOIN targets USING (tid) GROUP BY frag_id) SELECT array_to_string(label, ',') AS label, count(*) AS count FROM labels GROUP BY label")
+def _(spark, sf):
+    h = hits(spark, sf).join(targets(spark, sf).select("tid", "gene"), "tid").select("frag_id", F.col("gene").alias("tid"))
+    return collapse.classes(assign.labels(h, dedupe=True)).select(F.array_join("label", ",").alias("label"), "count")
+
+
+@query("eq_class_sizes", f"WITH {_LABELS} SELECT len(label)::INT AS size, count(*) AS classes, sum(count)::BIGINT AS fragments FROM eq GROUP BY ALL")
+def _(spark, sf):
+    return _eq(spark, sf).groupBy(F.size("label").alias("size")).agg(F.count("*").alias("classes"), F.sum("count").alias("fragments"))
+
+
+@query("active_targets", f"WITH {_LABELS} SELECT DISTINCT unnest(label) AS tid FROM eq")
+def _(spark, sf):
+    return collapse.active(_eq(spark, sf))
+
+
+_MEMBERS = f"{_LABELS}, {TARGETS}, {_EFF}, mem AS (SELECT label, count, unnest(label) AS tid FROM eq), wts AS (SELECT m.*, (1 / e.eff_length) / sum(1 / e.eff_length) OVER (PARTITION BY label) AS w FROM mem m JOIN eff e USING (tid))"
+
+
+@query("eq_weights", f"WITH {_MEMBERS} SELECT array_to_string(label, ',') AS label, tid, round(sum(w), 9) AS w FROM wts GROUP BY label, tid")
+def _(spark, sf):
+    return collapse.weights(_eq(spark, sf), _eff(spark, sf)).groupBy("label", "tid").agg(F.round(F.sum("w"), 9).alias("w")).select(_text(), "tid", "w")
+
+
+# ---- estimation ---------------------------------------------------------------------------------
+
+
+def _digamma_sql(x: str) -> str:
+    y = f"({x} + 6.0)"
+    series = "".join(f" + ({c!r}) / pow({y}, {2 * k})" for k, c in enumerate((-1 / 12, 1 / 120, -1 / 252, 1 / 240, -1 / 132), 1))
+    return f"(ln({y}) - 0.5 / {y}{series}" + "".join(f" - 1.0 / ({x} + {k})" for k in range(6)) + ")"
+
+
+def _em_sql(steps: int, variational: bool = False) -> str:
+    theta = f"CASE WHEN alpha > 0 THEN exp({_digamma_sql('alpha')} - {_digamma_sql('(SELECT sum(alpha) FROM a{})')}) ELSE 0 END" if variational else "alpha"
+    prior = "0.01" if variational else "0.0"
+    ctes = ["a0 AS (SELECT e.tid, CASE WHEN e.tid IN (SELECT tid FROM mem) THEN (SELECT sum(count) FROM eq) / (SELECT count(DISTINCT tid) FROM mem)::DOUBLE ELSE 0.0 END AS alpha FROM eff e)"]
+    for k in range(1, steps + 1):
+        t = theta.replace("{}", str(k - 1))
+        ctes.append(f"t{k} AS MATERIALIZED (SELECT tid, {t} AS th FROM a{k - 1})")
+        ctes.append(f"p{k} AS (SELECT w.label, w.tid, w.count, len(w.label) AS sz, t.th * w.w AS p, sum(t.th * w.w) OVER (PARTITION BY w.label) AS d FROM wts w JOIN t{k} t USING (tid))")
+        ctes.append(f"s{k} AS (SELECT tid, sum(CASE WHEN sz = 1 THEN count WHEN d > 0 THEN count * p / d ELSE 0 END) AS s FROM p{k} GROUP BY tid)")
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT e.tid, {prior} + coalesce(s, 0) AS alpha FROM eff e LEFT JOIN s{k} USING (tid))")
+    return f"WITH {_MEMBERS}, " + ", ".join(ctes)
+
+
+def _problem(spark, sf):
+    """Targets' ids may start anywhere: they are ranked to 0 .. n - 1."""
+    ids = [r.tid for r in targets(spark, sf).select("tid").orderBy("tid").collect()]
+    low = ids[0] if ids else 0
+    if ids != list(range(low, low + len(ids))):
+        raise ValueError("target ids have gaps")
+    eq = _eq(spark, sf).select(F.transform("label", lambda t: t - low).alias("label"), "count")
+    return estimate.Problem(eq, _eff(spark, sf).withColumn("tid", F.col("tid") - low)), low
+
+
+def _abundance(spark, sf, variational: bool = False, steps: int | None = STEPS):
+    problem, low = _problem(spark, sf)
+    try:
+        alpha = problem.fixed(steps, variational) if steps else problem.converged(variational)[0]
+    finally:
+        problem.close()
+    return estimate.abundances(spark, alpha).withColumn("tid", F.col("tid") + low)
+
+
+@query("em_fixed10", f"{_em_sql(STEPS)} SELECT tid, round(alpha, 5) AS num_reads, round(1e6 * (alpha / eff_length) / (SELECT sum(x.alpha / y.eff_length) FROM a{STEPS} x JOIN eff y USING (tid)), 3) AS tpm FROM a{STEPS} JOIN eff USING (tid)")
+def _(spark, sf):
+    q = estimate.with_tpm(_abundance(spark, sf).join(_eff(spark, sf), "tid"))
+    return q.select("tid", F.round("num_reads", 5).alias("num_reads"), F.round("tpm", 3).alias("tpm"))
+
+
+@query("vbem_fixed10", f"{_em_sql(STEPS, True)} SELECT tid, round(alpha, 5) AS num_reads FROM a{STEPS}")
+def _(spark, sf):
+    return _abundance(spark, sf, True).select("tid", F.round("num_reads", 5).alias("num_reads"))
+
+
+@query("em_lazy_plan", f"{_em_sql(3)} SELECT tid, round(alpha, 5) AS num_reads FROM a3 WHERE tid IN (SELECT tid FROM mem)")
+def _(spark, sf):
+    members = collapse.weights(_eq(spark, sf), _eff(spark, sf))
+    return estimate.em_frame(members, 3).select("tid", F.round("alpha", 5).alias("num_reads"))
+
+
+@query("em_converged")
+def _(spark, sf):
+    return _abundance(spark, sf, steps=None)
+
+
+@query("vbem_converged")
+def _(spark, sf):
+    return _abundance(spark, sf, True, None)
+
+
+@query("digamma", f"SELECT p_partkey, round({_digamma_sql('(p_retailprice / 100)')}, 9) AS psi FROM part")
+def _(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.round(kmers.digamma(F.col("p_retailprice") / 100), 9).alias("psi"))
+
+
+_READS = "q AS (SELECT tid, count(*)::DOUBLE AS num_reads FROM hits GROUP BY tid)"
+
+
+def _quant(spark, sf):
+    """tid, name, gene, length, eff_length, num_reads, tpm with hits for reads."""
+    n = hits(spark, sf).groupBy("tid").agg(F.count("*").cast("double").alias("num_reads"))
+    t = targets(spark, sf).withColumn("eff_length", F.col("length") - 100.0).join(n, "tid", "left").withColumn("num_reads", F.coalesce("num_reads", F.lit(0.0)))
+    return estimate.with_tpm(t)
+
+
+_QUANT = f"{HITS}, {TARGETS}, {_READS}, z AS (SELECT t.*, length - 100.0 AS eff_length, coalesce(num_reads, 0) AS num_reads FROM targets t LEFT JOIN q USING (tid)), quant AS (SELECT *, 1e6 * (num_reads / eff_length) / sum(num_reads / eff_length) OVER () AS tpm FROM z)"
+
+
+@query("tpm", f"WITH {_QUANT} SELECT tid, round(tpm, 4) AS tpm FROM quant")
+def _(spark, sf):
+    return _quant(spark, sf).select("tid", F.round("tpm", 4).alias("tpm"))
+
+
+@query("truncate_alpha", f"WITH {_QUANT} SELECT tid, CASE WHEN num_reads <= 30 THEN 0.0 ELSE num_reads END AS num_reads FROM quant")
+def _(spark, sf):
+    return _quant(spark, sf).select("tid", F.when(F.col("num_reads") <= 30, 0.0).otherwise(F.col("num_reads")).alias("num_reads"))
+
+
+@query("conv_rel_diff", f"{_em_sql(2)} SELECT round(max(abs(x.alpha - y.alpha) / y.alpha) FILTER (y.alpha > 0.01), 9) AS max_rel_diff FROM a1 x JOIN a2 y USING (tid)")
+def _(spark, sf):
+    members = collapse.weights(_eq(spark, sf), _eff(spark, sf))
+    one, two = (estimate.em_frame(members, k) for k in (1, 2))
+    return estimate.relative_change(one, two).select(F.round("max_rel_diff", 9).alias("max_rel_diff"))
+
+
+@query("degenerate_classes", f"WITH {_MEMBERS} SELECT array_to_string(label, ',') AS label, bool_or(tid % 3 = 0) AS valid FROM wts GROUP BY label")
+def _(spark, sf):
+    alpha = targets(spark, sf).select("tid", F.when(F.col("tid") % 3 == 0, 1.0).otherwise(0.0).alias("alpha"))
+    return estimate.validity(collapse.weights(_eq(spark, sf), _eff(spark, sf)), alpha).select(_text(), "valid")
+
+
+# ---- lengths ------------------------------------------------------------------------------------
+
+_DIST = f"""{_FLD}, c AS (SELECT len, n, sum(n) OVER (ORDER BY len) / sum(n) OVER () AS c FROM fld), e AS (SELECT coalesce(min(len) FILTER (c > 1 - 1e-6), {MAX_LEN}) AS e FROM c),
+ pdf AS (SELECT len, CASE WHEN len < e THEN n / (SELECT sum(n) FROM fld, e WHERE len < e) ELSE 0 END AS pdf, e FROM fld, e), dist AS (SELECT len, pdf, CASE WHEN len < e THEN sum(pdf) OVER (ORDER BY len) ELSE 1 END AS cdf FROM pdf)"""
+_CF = "cf AS (SELECT len, CASE WHEN sum(n) OVER (ORDER BY len) > 0 THEN sum(len * n) OVER (ORDER BY len) / sum(n) OVER (ORDER BY len) ELSE 0 END AS cf FROM {})"
+_KERNEL = f"g AS (SELECT range AS len, exp(-0.5 * pow((range - {MEAN}) / {SD}, 2)) / {SD} AS n FROM range({MAX_LEN}))"
+_SMOOTHED = f"SELECT tid, length, round(length - cf + 1, 6) AS eff_length FROM targets JOIN cf ON len = least(length, {MAX_LEN - 1})"
+
+
+@query("fld_pdf_cdf", f"WITH {_DIST} SELECT len, round(pdf, 9) AS pdf, round(cdf, 9) AS cdf FROM dist")
+def _(spark, sf):
+    return lengths.distribution(_fld(spark, sf)).select("len", F.round("pdf", 9).alias("pdf"), F.round("cdf", 9).alias("cdf"))
+
+
+@query("fld_quantiles", f"WITH {_DIST} SELECT min(len) FILTER (cdf >= 0.005) AS low, min(len) FILTER (cdf >= 0.995) AS high FROM dist")
+def _(spark, sf):
+    return lengths.quantile_bounds(lengths.distribution(_fld(spark, sf)))
+
+
+@query("fld_median", f"WITH {_FLD}, x AS (SELECT len, n, sum(n) OVER (ORDER BY len) AS up, sum(n) OVER () AS t FROM fld) SELECT min(len) AS median FROM x WHERE t > 0 AND up > t - up")
+def _(spark, sf):
+    return lengths.median(_fld(spark, sf))
+
+
+@query("mean_frag_len", f"WITH {_FLD} SELECT CASE WHEN sum(len * n) > sum(n) THEN floor(sum(len * n) / sum(n)) ELSE 200 END::BIGINT AS mean FROM fld")
+def _(spark, sf):
+    return lengths.mean_length(_fld(spark, sf))
+
+
+@query("normal_counts", f"WITH {_KERNEL} SELECT len, round(10000 * n / sum(n) OVER ())::BIGINT AS n FROM g")
+def _(spark, sf):
+    return lengths.gaussian_counts(spark, 10_000, MAX_LEN, MEAN, SD)
+
+
+@query("cond_means_empirical", f"WITH {_FLD}, {_CF.format('fld')} SELECT len, round(cf, 6) AS cf FROM cf")
+def _(spark, sf):
+    return lengths.conditional_means(_fld(spark, sf)).select("len", F.round("cf", 6).alias("cf"))
+
+
+@query("cond_means_gaussian", f"WITH {_KERNEL}, {_CF.format('g')} SELECT len, round(cf, 6) AS cf FROM cf")
+def _(spark, sf):
+    return lengths.conditional_means(lengths.gaussian(spark, MAX_LEN, MEAN, SD)).select("len", F.round("cf", 6).alias("cf"))
+
+
+@query("eff_len_gaussian", f"WITH {TARGETS}, {_KERNEL}, {_CF.format('g')} {_SMOOTHED}")
+def _(spark, sf):
+    cf = lengths.conditional_means(lengths.gaussian(spark, MAX_LEN, MEAN, SD))
+    return lengths.smoothed(targets(spark, sf), cf, MAX_LEN).withColumn("eff_length", F.round("eff_length", 6))
+
+
+@query("eff_len_empirical", f"WITH {_FLD}, {TARGETS}, {_CF.format('fld')} {_SMOOTHED}")
+def _(spark, sf):
+    cf = lengths.conditional_means(_fld(spark, sf))
+    return lengths.smoothed(targets(spark, sf), cf, MAX_LEN).withColumn("eff_length", F.round("eff_length", 6))
+
+
+@query("eff_len_unsmoothed", f"""WITH {_DIST}, {TARGETS}, m AS (SELECT min(len) AS med FROM (SELECT len, sum(n) OVER (ORDER BY len) AS up, sum(n) OVER () AS t FROM fld) WHERE up > t - up),
+ s AS (SELECT tid, length, sum(pdf * (length - len + 1)) AS e FROM targets JOIN dist ON len <= length GROUP BY ALL) SELECT tid, length, round(CASE WHEN length <= med OR e <= 0 THEN length ELSE e END, 6) AS eff_length FROM s, m""")
+def _(spark, sf):
+    f = _fld(spark, sf)
+    return lengths.unsmoothed(targets(spark, sf), lengths.distribution(f), lengths.median(f)).withColumn("eff_length", F.round("eff_length", 6))
+
+
+@query("eff_len_direct", f"WITH {TARGETS} SELECT tid, length, length::DOUBLE AS eff_length FROM targets")
+def _(spark, sf):
+    return lengths.direct(targets(spark, sf))
+
+
+# ---- k-mers and bias ----------------------------------------------------------------------------
+
+_CODE = "list_reduce(list_transform(string_split(translate({}, 'ACGTU', '01233'), ''), lambda x: x::BIGINT), lambda a, b: a * 4 + b)"
+_KMERS = "string_agg(substr('ACGT', (i // pow(4, {k} - 1 - j)::BIGINT % 4)::INT + 1, 1), '' ORDER BY j)"
+
+
+@query("kmer_decode", f"SELECT i AS idx, {_KMERS.format(k=6)} AS kmer FROM range(4096) a(i), range(6) b(j) GROUP BY i")
+def _(spark, sf):
+    return spark.range(4096).select(F.col("id").alias("idx"), kmers.decode(F.col("id"), 6).alias("kmer"))
+
+
+@query("kmer_encode", f"WITH {SEQUENCES} SELECT tid, CASE WHEN length(seq) >= 6 THEN {_CODE.format('substr(seq, 1, 6)')} END AS first, CASE WHEN length(seq) >= 6 THEN {_CODE.format('right(seq, 6)')} END AS last FROM seqs")
+def _(spark, sf):
+    s, n = F.col("seq"), F.length("seq")
+    return sequences(spark, sf).select("tid", F.when(n >= 6, kmers.encode(F.substring(s, 1, 6))).alias("first"), F.when(n >= 6, kmers.encode(F.right(s, F.lit(6)))).alias("last"))
+
+
+@query("kmer_rc", f"WITH {SEQUENCES} SELECT tid, md5(translate(reverse(seq), 'ACGT', 'TGCA')) AS rc FROM seqs")
+def _(spark, sf):
+    return sequences(spark, sf).select("tid", F.md5(kmers.reverse_complement(F.col("seq")).cast("binary")).alias("rc"))
+
+
+@query("kmer_hist", f"WITH {SEQUENCES}, k AS (SELECT unnest(list_transform(range(1, length(seq) - 4), lambda p: substr(seq, p, 6))) AS kmer FROM seqs WHERE length(seq) >= 6), h AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) SELECT {_CODE.format('kmer')} AS idx, n FROM h")
+def _(spark, sf):
+    k = sequences(spark, sf).select(F.explode(kmers.windows(F.col("seq"), 6)).alias("w")).groupBy("w.kmer").agg(F.count("*").alias("n"))
+    return k.select(kmers.encode(F.col("kmer")).alias("idx"), "n")
+
+
+_GCN = "(length({0}) - length(translate({0}, 'GC', '')))"
+
+
+@query("gc_prefix", f"WITH {SEQUENCES} SELECT tid, {_GCN.format('seq')} AS gc, {_GCN.format('substr(seq, 1, length(seq) // 2 + 1)')} AS half FROM seqs")
+def _(spark, sf):
+    s = F.col("seq")
+    return sequences(spark, sf).select("tid", kmers.gc_count(s).alias("gc"), kmers.gc_before(s, F.floor(F.length(s) / 2).cast("int")).alias("half"))
+
+
+_PAIRS = "p AS (SELECT tid, seq, unnest(range(10, length(seq), 100))::INT AS start FROM seqs), pairs AS (SELECT tid, seq, start, start + 150 AS stop FROM p)"
+
+
+def _pairs(spark, sf):
+    s = sequences(spark, sf).where("length(seq) > 10")
+    return s.select("tid", "seq", F.explode(F.sequence(F.lit(10), F.length("seq") - 1, F.lit(100))).alias("start")).withColumn("stop", F.col("start") + 150)
+
+
+@query("gc_frac_hist", f"""WITH {SEQUENCES}, {_PAIRS}, b AS (SELECT round_even(100.0 * {_GCN.format('substr(seq, start + 2, stop - start)')} / (stop - start + 1), 0)::INT AS bin, count(*) AS c FROM pairs WHERE stop < length(seq) GROUP BY ALL)
+ SELECT r.range AS bin, 1 + coalesce(c, 0) AS n FROM range(101) r LEFT JOIN b ON b.bin = r.range""")
+def _(spark, sf):
+    return bias.observed_gc(_pairs(spark, sf))
+
+
+_SAMPLES = "smp AS (SELECT seq, start AS p, start % 200 = 10 AS fwd FROM pairs)"
+
+
+def _samples(spark, sf):
+    return _pairs(spark, sf).select("seq", F.col("start").alias("p"), (F.col("start") % 200 == 10).alias("fwd"))
+
+
+_OBS = f"""{SEQUENCES}, {_PAIRS}, {_SAMPLES}, ow AS (SELECT CASE WHEN fwd THEN translate(reverse(substr(seq, p - 1, 6)), 'ACGT', 'TGCA') ELSE substr(seq, p - 3, 6) END AS kmer FROM smp WHERE CASE WHEN fwd THEN p >= 2 AND p + 4 < length(seq) ELSE p >= 4 AND p + 2 < length(seq) END),
+ oh AS (SELECT kmer, count(*) AS c FROM ow GROUP BY kmer), oi AS (SELECT {_CODE.format('kmer')} AS idx, c FROM oh), obs AS (SELECT r.range AS idx, 1 + coalesce(c, 0) AS n FROM range(4096) r LEFT JOIN oi ON oi.idx = r.range)"""
+
+
+@query("obs_bias_kmers", f"WITH {_OBS} SELECT idx, n FROM obs")
+def _(spark, sf):
+    return bias.observed_kmers(_samples(spark, sf))
+
+
+P_FWD = 0.625
+
+
+def _bias_targets(spark, sf):
+    s = sequences(spark, sf).withColumn("length", F.length("seq"))
+    return s.withColumn("unprocessed", F.greatest(F.col("length") - 200.0, F.lit(1.0))).withColumn("eff_length", F.col("unprocessed")).withColumn("alpha", (F.col("tid") % 7).cast("double"))
+
+
+def _gauss_cdf(spark):
+    return lengths.distribution(lengths.gaussian_counts(spark, 10_000, MAX_LEN, MEAN, SD))
+
+
+_GCDF = f"""{_KERNEL}, gc_n AS (SELECT len, round(10000 * n / sum(n) OVER ())::BIGINT AS n FROM g), gcc AS (SELECT len, n, sum(n) OVER (ORDER BY len) / sum(n) OVER () AS c FROM gc_n), ge AS (SELECT coalesce(min(len) FILTER (c > 1 - 1e-6), {MAX_LEN}) AS e FROM gcc),
+ cdf AS (SELECT len, CASE WHEN len < e THEN sum(CASE WHEN len < e THEN n ELSE 0 END) OVER (ORDER BY len) / (SELECT sum(n) FROM gc_n, ge WHERE len < e) ELSE 1 END AS cdf FROM gc_n, ge)"""
+_BIAS = f"""{_OBS}, {_GCDF}, bt AS (SELECT tid, seq, length(seq)::INT AS length, greatest(length(seq) - 200.0, 1.0) AS e, (tid % 7)::DOUBLE AS alpha FROM seqs),
+ bp AS (SELECT tid, seq, length, e, alpha, length - floor(e)::INT AS u FROM bt WHERE alpha >= 1e-8 AND length - floor(e)::INT > 0 AND length > 6),
+ bi AS (SELECT tid, length, u, alpha / e AS c, seq, unnest(range(0, length - 6))::INT AS i FROM bp), bk AS (SELECT tid, length, u, c, i, substr(seq, i + 1, 6) AS k FROM bi),
+ bw AS (SELECT tid, length, u, c, i, k, true AS fwd, {P_FWD} AS p FROM bk UNION ALL SELECT tid, length, u, c, i, k, false, {1 - P_FWD} FROM bk),
+ dk AS (SELECT DISTINCT k FROM bk), di AS (SELECT k, {_CODE.format('k')} AS fi, {_CODE.format("translate(reverse(k), 'ACGT', 'TGCA')")} AS ri FROM dk),
+ br AS (SELECT tid, length, u, c, i, fwd, p, CASE WHEN fwd THEN ri ELSE fi END AS idx FROM bw JOIN di USING (k)),
+ em AS (SELECT *, CASE WHEN fwd THEN length - i - 1 ELSE i + 5 END AS m FROM br), es AS (SELECT idx, sum(p * c * coalesce(cdf, 1)) AS s FROM em LEFT JOIN cdf ON cdf.len = m WHERE m >= 0 AND m < length GROUP BY idx),
+ ex AS (SELECT r.range AS idx, 1 + coalesce(s, 0) AS x FROM range(4096) r LEFT JOIN es ON es.idx = r.range)"""
+
+
+@query("expected_bias_kmers", f"WITH {_BIAS} SELECT idx, round(x, 6) AS x FROM ex")
+def _(spark, sf):
+    return bias.expected_kmers(_bias_targets(spark, sf), _gauss_cdf(spark), P_FWD).select("idx", F.round("x", 6).alias("x"))
+
+
+@query("seq_bias_efflen", f"""WITH {_BIAS}, tr AS (SELECT (SELECT sum(x) FROM ex) AS t, (SELECT sum(n) FROM obs) AS r), fac AS (SELECT idx, n / (x + t / (r - 4096)) AS f FROM obs JOIN ex USING (idx), tr),
+ cm AS (SELECT *, CASE WHEN fwd THEN i + 2 ELSE i + 4 END AS a FROM br), cr AS (SELECT *, CASE WHEN fwd THEN length - a + 1 ELSE a + 1 END AS m FROM cm WHERE a < length),
+ cs AS (SELECT tid, u, sum(p * f * coalesce(cdf, 1)) * (SELECT t / r FROM tr) AS e FROM cr JOIN fac USING (idx) LEFT JOIN cdf ON cdf.len = m GROUP BY tid, u)
+ SELECT bt.tid, round(CASE WHEN cs.e > cs.u THEN cs.e ELSE bt.e END, 4) AS eff_length FROM bt LEFT JOIN cs USING (tid)""")
+def _(spark, sf):
+    t, cdf = _bias_targets(spark, sf), _gauss_cdf(spark)
+    out = bias.corrected_by_sequence(t, cdf, bias.observed_kmers(_samples(spark, sf)), bias.expected_kmers(t, cdf, P_FWD), P_FWD)
+    return out.select("tid", F.round("eff_length", 4).alias("eff_length"))
+
+
+GC_STEP = 25
+
+
+@query("gc_bias_efflen")
+def _(spark, sf):
+    t = _bias_targets(spark, sf)
+    fl, mass = bias.gc_steps([(r.len, r.cdf) for r in _gauss_cdf(spark).collect()], GC_STEP)
+    observed, expected = np.zeros(bias.GC_BINS), np.zeros(bias.GC_BINS)
+    for r in bias.observed_gc(_pairs(spark, sf)).collect():
+        observed[r.bin] = r.n
+    for r in bias.expected_gc(t, fl, mass).collect():
+        expected[r.bin] = r.x
+    return bias.corrected_by_gc(t, fl, mass, observed, expected)
+
+
+MAP_K = 15
+
+
+@query("kmer_index", f"WITH {SEQUENCES}, i AS (SELECT tid, unnest(list_transform(range(0, length(seq) - {MAP_K - 1}), lambda p: substr(seq, p + 1, {MAP_K}))) AS kmer FROM seqs WHERE length(seq) >= {MAP_K}) SELECT tid, count(*) AS n, count(DISTINCT kmer) AS n_distinct FROM i GROUP BY tid")
+def _(spark, sf):
+    return mapping.index(sequences(spark, sf), MAP_K).groupBy("tid").agg(F.count("*").alias("n"), F.countDistinct("kmer").alias("n_distinct"))
+
+
+@query("quasi_map_hits")
+def _(spark, sf):
+    """Reads of 60 bases from each sequence's middle, every second one reversed, mapped back."""
+    s = sequences(spark, sf).where("length(seq) >= 200")
+    mid = F.substring(F.col("seq"), F.floor(F.length("seq") / 2).cast("int"), F.lit(60))
+    reads = s.select(F.col("tid").cast("long").alias("frag_id"), F.when(F.col("tid") % 2 == 1, kmers.reverse_complement(mid)).otherwise(mid).alias("seq"))
+    return mapping.hits(reads, mapping.index(s, 31), 31, stride=5)
+
+
+# ---- genes --------------------------------------------------------------------------------------
+
+_ROUND = "gene, round(length, 6) AS length, round(eff_length, 6) AS eff_length, round(tpm, 4) AS tpm, num_reads"
+
+
+def _rounded(df):
+    return df.select("gene", F.round("length", 6).alias("length"), F.round("eff_length", 6).alias("eff_length"), F.round("tpm", 4).alias("tpm"), "num_reads")
+
+
+_MEAN = "CASE WHEN sum({w}) > 0 THEN sum(tpm * {c}) / sum({w}) ELSE avg({c}) END AS {c}"
+
+
+@query("gene_rollup", f"WITH {_QUANT}, x AS (SELECT gene, {_MEAN.format(w='tpm', c='length')}, {_MEAN.format(w='tpm', c='eff_length')}, sum(tpm) AS tpm, sum(num_reads) AS num_reads FROM quant GROUP BY gene) SELECT {_ROUND} FROM x")
+def _(spark, sf):
+    return _rounded(rollup.genes(_quant(spark, sf)))
+
+
+@query("gene_rollup_compat", f"WITH {_QUANT}, y AS (SELECT *, sum(tpm) OVER (PARTITION BY gene ORDER BY tid) AS run FROM quant), x AS (SELECT gene, {_MEAN.format(w='run', c='length')}, {_MEAN.format(w='run', c='eff_length')}, sum(tpm) AS tpm, sum(num_reads) AS num_reads FROM y GROUP BY gene) SELECT {_ROUND} FROM x")
+def _(spark, sf):
+    return _rounded(rollup.genes_running(_quant(spark, sf)))
+
+
+_T2G = "t2g AS (SELECT name AS transcript, gene FROM targets WHERE tid % 5 <> 2)"
+
+
+def _t2g(spark, sf):
+    return targets(spark, sf).where("tid % 5 <> 2").select(F.col("name").alias("transcript"), "gene")
+
+
+@query("t2g_join", f"WITH {TARGETS}, {_T2G} SELECT name, coalesce(t2g.gene, name) AS gene FROM targets LEFT JOIN t2g ON transcript = name")
+def _(spark, sf):
+    return rollup.gene_of(targets(spark, sf).select("name"), _t2g(spark, sf)).select("name", "gene")
+
+
+@query("t2g_asof_compat", f"WITH {TARGETS}, {_T2G} SELECT name, coalesce((SELECT min_by(g.gene, g.transcript) FROM t2g g WHERE g.transcript >= name), name) AS gene FROM targets")
+def _(spark, sf):
+    return rollup.gene_as_of(targets(spark, sf).select("name"), _t2g(spark, sf)).select("name", "gene")
+
+
+@query("gene_sizes", f"WITH {TARGETS} SELECT gene, count(DISTINCT name) AS n FROM targets GROUP BY gene")
+def _(spark, sf):
+    return rollup.sizes(targets(spark, sf).select(F.col("name").alias("transcript"), "gene"))
+
+
+# ---- resampling and streaming -------------------------------------------------------------------
+
+
+def _gene_problem(spark, sf):
+    """Classes of the 25 brands: tid is a brand's place."""
+    names = sorted(r.p_brand for r in table(spark, sf, "part").select("p_brand").distinct().collect())
+    place = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))])
+    h = hits(spark, sf).join(targets(spark, sf).select("tid", "gene"), "tid").select("frag_id", place[F.col("gene")].alias("tid"))
+    return collapse.classes(assign.labels(h, dedupe=True)), np.array([300.0 + 10 * k for k in range(len(names))])
+
+
+@query("bootstrap_totals", f"WITH {HITS} SELECT range::INT AS sample_id, (SELECT count(DISTINCT frag_id) FROM hits)::DOUBLE AS total FROM range(4)")
+def _(spark, sf):
+    eq, eff = _gene_problem(spark, sf)
+    return resample.bootstrap(eq, eff, 4, most=60).groupBy("sample_id").agg(F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("bootstrap_samples")
+def _(spark, sf):
+    eq, eff = _gene_problem(spark, sf)
+    return resample.bootstrap(eq, eff, 4, most=60)
+
+
+@query("gibbs_totals", f"WITH {HITS} SELECT c.range::INT AS chain, s.range::INT AS sample_id, (SELECT count(DISTINCT frag_id) FROM hits) AS total FROM range(2) c, range(3) s")
+def _(spark, sf):
+    eq, eff = _gene_problem(spark, sf)
+    return resample.gibbs(eq, eff, np.ones(len(eff)), 3, chains=2).groupBy("chain", "sample_id").agg(F.sum("value").alias("total"))
+
+
+def _streamed(spark: SparkSession, sf: str, make, name: str) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    return accumulate.drain(make(stream), name, tempfile.mkdtemp(prefix="stream-"))
+
+
+@query("stream_eq_classes", "WITH l AS (SELECT DISTINCT least(user_id % 7, event_id % 5) AS a, greatest(user_id % 7, event_id % 5) AS b, event_id FROM events) SELECT a || ',' || b AS label, count(*) AS count FROM l GROUP BY ALL")
+def _(spark, sf):
+    make = lambda s: accumulate.eq_classes(s.select(F.col("event_id").alias("frag_id"), F.array_sort(F.array(F.col("user_id") % 7, F.col("event_id") % 5)).alias("label")))
+    return _streamed(spark, sf, make, "stream_eq").select(_text(), "count")
+
+
+@query("stream_fld", "SELECT event_id % 400 AS len, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf):
+    return _streamed(spark, sf, lambda s: accumulate.lengths(s.select((F.col("event_id") % 400).alias("frag_len"))), "stream_fld")
