@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,10 +26,22 @@ def next_index(index: Column, base: Column, k: int) -> Column:
     return (index * 4 + code).bitwiseAND(F.lit(4**k - 1))
 
 
+#: Bases of a chunk: finding a place in a string costs its distance from the start, so windows are cut from chunks.
+_CHUNK = 512
+
+
 def windows(seq: Column, k: int, stride: int = 1) -> Column:
     """array of struct(pos from 0, kmer)."""
-    last = F.length(seq) - k
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda p: F.struct(p.alias("pos"), F.substring(seq, p + 1, F.lit(k)).alias("kmer")))).otherwise(F.array())
+    last, span = F.length(seq) - k, _CHUNK // stride * stride or stride
+    chunks = F.transform(F.sequence(F.lit(0), last, F.lit(span)), lambda c: F.struct(c.alias("at"), F.substring(seq, c + 1, F.lit(span + k - 1)).alias("s")))
+    inside = lambda x: F.transform(F.sequence(F.lit(0), F.least(F.lit(span - 1), last - x["at"]), F.lit(stride)), lambda p: F.struct((x["at"] + p).alias("pos"), F.substring(x["s"], p + 1, F.lit(k)).alias("kmer")))
+    return F.when(last >= 0, F.flatten(F.transform(chunks, inside))).otherwise(F.array())
+
+
+def codes(spark: SparkSession, k: int) -> DataFrame:
+    """kmer, fwd_idx, rc_idx of all 4**k k-mers, for short k: a table to join with instead of encoding each row."""
+    kmer = decode(F.col("id"), k)
+    return spark.range(4**k).select(kmer.alias("kmer"), F.col("id").alias("fwd_idx"), encode(reverse_complement(kmer)).alias("rc_idx"))
 
 
 def gc_count(seq: Column) -> Column:
@@ -43,7 +55,8 @@ def gc_before(seq: Column, position: Column) -> Column:
 
 def gc_percent(seq: Column, start: Column, end: Column) -> Column:
     """Percent of G and C in (start, end] over end - start + 1 bases, halves to even."""
-    return F.rint(100.0 * (gc_before(seq, end) - gc_before(seq, start)) / (end - start + 1)).cast("int")
+    between = F.substring(seq, start + 2, F.greatest(end - start, F.lit(0)))
+    return F.rint(100.0 * gc_count(between) / (end - start + 1)).cast("int")
 
 
 #: Coefficients of the asymptotic series (fixed values), for 1/y**2, 1/y**4, ...

@@ -1,8 +1,9 @@
 """Abundance by expectation-maximisation, plain or variational.
 
-Classes stay distributed and persisted in an array layout; the model is one number a target, at most
-MAX_TARGETS, and travels with each step's tasks. A step gives one partial sum a target and task and
-shuffles only those. Classes of one target are summed once.
+Classes are in an array layout; the model is one number a target, at most MAX_TARGETS. Up to LOCAL_MEMBERS
+members of classes (collapsed, so far fewer than fragments) are fetched once and every step runs on them
+in place; beyond it classes stay distributed and persisted, the model travels with each step's tasks, and a step
+gives one partial sum a target and task and shuffles only those. Classes of one target are summed once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,23 @@ from pyspark.sql import functions as F
 MIN_ALPHA, PRIOR, MIN_ITERATIONS, TOLERANCE, MAX_ITERATIONS, CHECK = 1e-8, 0.01, 50, 0.01, 10_000, 1e-2
 #: Targets up to which the model is held in memory.
 MAX_TARGETS = 5_000_000
+#: Members of classes up to which steps run in the driver: about 50 MB.
+LOCAL_MEMBERS = 4_000_000
+
+
+def shares(rate: np.ndarray, tids: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A step's sum for each target over classes of members tids, at[k] the first of class k, n their counts."""
+    if not len(n):
+        return np.zeros(len(rate))
+    part = rate[tids]
+    denominator = np.add.reduceat(part, at[:-1])
+    share = np.where(denominator > 0, n / np.where(denominator > 0, denominator, 1), 0)
+    return np.bincount(tids, part * np.repeat(share, np.diff(at)), len(rate))
+
+
+def _arrays(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.asarray(lists.offsets)
+    return np.asarray(lists.flatten()), at - at[0]
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -46,10 +64,18 @@ class Problem:
         for row in eq.where(F.size("label") == 1).groupBy(F.col("label")[0].alias("tid")).agg(F.sum("n").alias("n")).collect():
             self.single[row.tid] = row.n
         self.eq = eq.where(F.size("label") > 1).persist(StorageLevel.MEMORY_AND_DISK)
-        self.mapped = self.single.sum() + (self.eq.agg(F.sum("n")).first()[0] or 0.0)
+        n, size = self.eq.agg(F.sum("n"), F.sum(F.size("label"))).first()
+        self.mapped = self.single.sum() + (n or 0.0)
         self.active = self.single > 0
-        for row in self.eq.select(F.explode("label").alias("tid")).distinct().collect():
-            self.active[row.tid] = True
+        self.local = None
+        if (size or 0) <= LOCAL_MEMBERS:
+            got = self.eq.toArrow().combine_chunks()
+            lists = [_arrays(c) for c in got.column("label").chunks]
+            self.local = (*(lists[0] if lists else (np.zeros(0, int), np.zeros(1, int))), np.asarray(got.column("n")))
+            self.active[self.local[0]] = True
+        else:
+            for row in self.eq.select(F.explode("label").alias("tid")).distinct().collect():
+                self.active[row.tid] = True
 
     def close(self) -> None:
         self.eq.unpersist()
@@ -64,21 +90,17 @@ class Problem:
             theta = alpha
         rate = theta / self.lengths  # a class's normalisation of its weights cancels
 
+        out = self.single + (PRIOR if variational else 0.0)
+        if self.local:
+            return out + shares(rate, *self.local)
+
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(rate))
             for batch in batches:
-                lists, n = batch.column("label"), np.asarray(batch.column("n"))
-                tids, at = np.asarray(lists.flatten()), np.asarray(lists.offsets)
-                if not len(n):
-                    continue
-                part, sizes = rate[tids], np.diff(at)
-                denominator = np.add.reduceat(part, at[:-1] - at[0])
-                share = np.where(denominator > 0, n / np.where(denominator > 0, denominator, 1), 0)
-                total += np.bincount(tids, part * np.repeat(share, sizes), len(rate))
+                total += shares(rate, *_arrays(batch.column("label")), np.asarray(batch.column("n")))
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"tid": pa.array(found, pa.int64()), "m": pa.array(total[found], pa.float64())})
 
-        out = self.single + (PRIOR if variational else 0.0)
         for row in self.eq.mapInArrow(run, "tid long, m double").groupBy("tid").agg(F.sum("m").alias("m")).collect():
             out[row.tid] += row.m
         return out
