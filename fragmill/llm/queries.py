@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, packing, secrets, simhash, token_counts, token_io, topk, toxicity
+from . import ann, licenses, packing, pieces, secrets, simhash, token_counts, token_io, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_token_binary": token_io.op8_token_binary,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_one_bit_ann": ann.op10_one_bit_ann,
 }
 
