@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Tables here have a row per fragment length, at most max_frag_len; windows over all of it are small.
-_UP = Window.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
+def _up():
+    return Window.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def conditional_means(counts: DataFrame) -> DataFrame:
     """len, cf: mean of the lengths up to len; 0 while there is no mass."""
-    mass, total = F.sum("n").over(_UP), F.sum(F.col("len") * F.col("n")).over(_UP)
+    mass, total = F.sum("n").over(_up()), F.sum(F.col("len") * F.col("n")).over(_up())
     return counts.select("len", F.when(mass > 0, total / mass).otherwise(0.0).alias("cf"))
 
 
@@ -34,14 +35,14 @@ def gaussian_counts(spark: SparkSession, total: int, max_len: int, mean: float,
 def distribution(counts: DataFrame) -> DataFrame:
     """len, pdf, cdf: mass above all but a millionth is cut off and the rest normalised; a single length has all the mass."""
     every = Window.partitionBy()
-    x = counts.select("len", "n", (F.sum("n").over(_UP) / F.sum("n").over(every)).alias("c"))
+    x = counts.select("len", "n", (F.sum("n").over(_up()) / F.sum("n").over(every)).alias("c"))
     end = F.coalesce(F.min(F.when(F.col("c") > 1 - 1e-6, F.col("len"))).over(every), F.max("len").over(every) + 1)
     x = x.withColumn("end", end)
     kept = F.when(F.col("len") < F.col("end"), F.col("n"))
     mass = F.sum(kept).over(every)
     pdf = F.when(mass > 0, F.coalesce(kept / mass, F.lit(0.0))).otherwise(F.when(F.col("len") == F.col("end"), 1.0).otherwise(0.0))
     x = x.select("len", "end", pdf.cast("double").alias("pdf"))
-    return x.select("len", "pdf", F.when(F.col("len") < F.col("end"), F.sum("pdf").over(_UP)).otherwise(1.0).alias("cdf"))
+    return x.select("len", "pdf", F.when(F.col("len") < F.col("end"), F.sum("pdf").over(_up())).otherwise(1.0).alias("cdf"))
 
 
 def quantile_bounds(dist: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
@@ -75,7 +76,7 @@ def unsmoothed(targets: DataFrame, dist: DataFrame, med: DataFrame) -> DataFrame
 
     One row a length on the broadcast side; the sum over shorter lengths is a difference of prefix sums, not a range join.
     """
-    sums = dist.select("len", F.sum("pdf").over(_UP).alias("p"), F.sum(F.col("pdf") * F.col("len")).over(_UP).alias("lp"))
+    sums = dist.select("len", F.sum("pdf").over(_up()).alias("p"), F.sum(F.col("pdf") * F.col("len")).over(_up()).alias("lp"))
     top = dist.agg(F.max("len").alias("top")).join(med, F.lit(True))
     t = targets.join(F.broadcast(top), F.lit(True)).withColumn("len", F.least(F.col("length").cast("long"), F.col("top")))
     eff = F.col("p") * (F.col("length") + 1) - F.col("lp")
