@@ -67,6 +67,13 @@ _BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{
 _WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 
 
+def _alphabet() -> dict[int, int]:
+    """The character that byte-level vocabularies have for each byte: printable ones themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in plain else next(rest) for b in range(256)}
+
+
 class IdEncoder:
     """Texts to little-endian uint32 ids, as the tokenizers library gives them.
 
@@ -83,6 +90,7 @@ class IdEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.model, self.alphabet = self.lib.model, _alphabet()
         with open(path, encoding="utf-8") as f:
             normalizer = json.load(f).get("normalizer")
         self.lower = "Lowercase" in str(normalizer)
@@ -98,8 +106,10 @@ class IdEncoder:
             self.held.clear()
         import array
 
-        for piece, got in zip(missing, self.lib.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.held[piece] = array.array("I", got.ids).tobytes()
+        # What the library does to a piece, without what it does to a text.
+        for piece in missing:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+            self.held[piece] = array.array("I", [t.id for t in tokens]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text has no ids, like an empty one."""
