@@ -174,9 +174,11 @@ def scan_text(text: bytes | None, phrases: list[tuple[bytes, str]], compiled: li
     joined = b" %b " % b" ".join(w)
     places, base = [], set()
     for phrase, label in phrases:
-        at = joined.find(phrase)
+        at, counted, word = joined.find(phrase), 0, 0
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            word += joined.count(b" ", counted, at)
+            counted = at
+            places.append(word)
             base.add(label)
             at = joined.find(phrase, at + 1)
     labels, longest = set(base), 3 if base else 0
