@@ -35,7 +35,7 @@ PATTERNS = [
     ("google-key", r"\b(AIza[0-9A-Za-z_-]{35})"),
     ("jwt", r"\b(eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})"),
     ("private-key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)"),
-    ("url-password", r"\b[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{4,})@"),
+    ("url-password", r"\b[a-z][a-z0-9+.-]{0,30}://[^\s:/@]+:([^\s:/@]{4,})@"),
     ("assigned", r"(?i)(?:api[_-]?key|key|secret|passw(?:or)?d|pwd|token|auth|credentials?)[\"']?\s*(?:=|:|=>)\s*[\"']?([^\s\"'<>,;]{6,})"),
     ("random-string", r"(?<![0-9A-Za-z+/_-])((?=[0-9A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{20,}={0,2})(?![0-9A-Za-z+/_-])"),
 ]
@@ -143,11 +143,15 @@ def candidates(text: str | None) -> list[tuple[int, int, str, list[float]]]:
     for kind, pattern in _COMPILED:
         if kind not in kinds:
             continue
-        for m in pattern.finditer(text):
+        new, k = [], 0
+        for m in pattern.finditer(text):  # in ascending order, like what is taken
             start, end = m.span(1)
-            if not any(start < e and s < end for s, e, _ in taken):
-                taken.append((start, end, kind))
-    return [(s, e, kind, features(kind, text[s:e], text[max(0, s - 64) : s], text[e : e + 40])) for s, e, kind in sorted(taken)]
+            while k < len(taken) and taken[k][1] <= start:
+                k += 1
+            if k == len(taken) or end <= taken[k][0]:
+                new.append((start, end, kind))
+        taken = sorted(taken + new)
+    return [(s, e, kind, features(kind, text[s:e], text[max(0, s - 64) : s], text[e : e + 40])) for s, e, kind in taken]
 
 
 # ---- random forest ------------------------------------------------------------------------------
