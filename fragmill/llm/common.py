@@ -101,11 +101,13 @@ class IdEncoder:
         self.max_pieces = max_pieces
         self.held: dict[str, bytes] = {}
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.held) + len(missing) > self.max_pieces:
-            self.held.clear()
+    def _learn(self, want: set[str]) -> None:
         import array
 
+        missing = [p for p in want if p not in self.held]
+        if len(self.held) + len(missing) > self.max_pieces:
+            self.held.clear()
+            missing = want  # those held until now are needed as well
         # What the library does to a piece, without what it does to a text.
         for piece in missing:
             tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
@@ -124,7 +126,7 @@ class IdEncoder:
                 split.append(pieces)
             else:
                 split.append(text)
-        self._learn([p for p in want if p not in self.held])
+        self._learn(want)
         out = []
         for x in split:
             if isinstance(x, str):

@@ -37,6 +37,13 @@ def test_remembered_pieces_give_the_librarys_ids(path):
     assert [list(array.array("I", g)) for g in got] == [ids_of(path, t) for t in texts]
 
 
+def test_a_full_memory_of_pieces_is_renewed_whole():
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    small, large = common.IdEncoder(path, max_pieces=4), common.IdEncoder(path)
+    for texts in (["one two"], ["one two three four five six"], ["one seven", None, "two eight nine"], ["one one"]):
+        assert small.encode(texts) == large.encode(texts)
+
+
 def test_packing(spark):
     rows = packing.packed(docs(spark), BYTE, size=64, open_bins=4).collect()
     want = sorted((str(d), len(ids_of(BYTE, t)) + 1) for d, t in ODD)
