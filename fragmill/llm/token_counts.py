@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, table, tokenizer_path
+from .common import encoder, table, tokenizer_path, written
 
 #: Lengths of one block of the two-level sums.
 BLOCK = 1024
@@ -78,4 +78,6 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def op6_token_counts(spark, sf_dir):
-    return limits(histogram(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+    # Both levels of the sums read the histogram: written once, documents are encoded once.
+    lengths = written(histogram(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), "lengths")
+    return limits(lengths)
