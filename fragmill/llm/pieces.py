@@ -24,7 +24,7 @@ from .common import table, tokenizer_path, written
 
 _SPACE = "▁"
 #: Classes of characters as ranges, so that all libraries agree on them; what is in none is a class too.
-CLASSES = ("A-Za-zÀ-ÖØ-öø-ÿ", "0-9", " ")
+CLASSES = ("A-Za-zÀ-ÖØ-öø-ÿ", "0-9", " ", r"\x00-\x1F!-/:-@\[-`{-\x7F")
 #: Units whose ids every task holds (the most frequent ones), and the buckets they are found by.
 MEMORY, BUCKETS = 200_000, 1 << 17
 
@@ -56,11 +56,19 @@ def cuts(pieces: list[str]) -> str:
     """A pattern of the places between two classes of characters that no piece has as neighbours. It may be empty."""
     import re
 
-    sets = [f"[{c}]" for c in CLASSES] + [f"[^{''.join(CLASSES)}]"]
-    matches = [re.compile(s).match for s in sets]
+    every = range(len(CLASSES) + 1)
+
+    def one_of(kinds: set[int]) -> str:
+        if len(CLASSES) in kinds:
+            return f"[^{''.join(c for k, c in enumerate(CLASSES) if k not in kinds)}]"
+        return f"[{''.join(CLASSES[k] for k in sorted(kinds))}]"
+
+    matches = [re.compile(one_of({k})).match for k in every]
     kind = lambda c: next(k for k, m in enumerate(matches) if m(c))
     met = {(kind(a), kind(b)) for p in pieces for a, b in zip(p, p[1:])}
-    return "|".join(f"(?<={sets[a]})(?={sets[b]})" for a in range(len(sets)) for b in range(len(sets)) if (a, b) not in met)
+    apart = {a: {b for b in every if (a, b) not in met} for a in every}
+    # The complement of no class would be an empty set; there any character will do, but not the end.
+    return "|".join(f"(?<={one_of({a})})" + (f"(?={one_of(apart[a])})" if len(apart[a]) < len(every) else r"(?!\z)") for a in every if apart[a])
 
 
 def units(text: Column, pattern: str) -> Column:
