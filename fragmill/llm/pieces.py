@@ -27,6 +27,7 @@ _SPACE = "▁"
 CLASSES = ("A-Za-zÀ-ÖØ-öø-ÿ", "0-9", " ", r"\x00-\x1F!-/:-@\[-`{-\x7F")
 #: Units whose ids every task holds (the most frequent ones), and the buckets they are found by.
 MEMORY, BUCKETS = 200_000, 1 << 17
+_HOLE = -1
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
@@ -189,16 +190,18 @@ def encode(docs: DataFrame, model: str, unigram: bool = False, keep: tuple[str,
     bucket = lambda u: F.get("held", F.pmod(F.xxhash64(u), F.lit(BUCKETS)).cast("int"))
     found = lambda u: F.get(F.filter(bucket(u), lambda e: e["unit"] == u), F.lit(0))["ids"]
     rows = rows.select("row", *keep, "units", F.transform("units", found).alias("parts"))
-    lack = F.filter(F.transform("units", lambda u, i: F.struct((i + 1).alias("pos"), F.when(F.get("parts", i).isNull(), u).alias("unit"))), lambda x: x["unit"].isNotNull())
-    rows = written(rows.withColumn("lack", lack).drop("units"), "resolved")
+    # One flat array, in which a mark stands for a unit that isn't held.
+    rows = rows.select("row", *keep, F.filter("units", lambda u, i: F.get("parts", i).isNull()).alias("lack"), F.flatten(F.transform("parts", lambda p: F.coalesce(p, F.array(F.lit(_HOLE))))).alias("parts"))
+    marks = F.filter(F.transform("parts", lambda x, i: F.when(x == _HOLE, i + 1)), lambda i: i.isNotNull())
+    rows = written(rows.withColumn("lack", F.arrays_zip(marks.alias("pos"), F.col("lack").alias("unit"))), "resolved")
 
     rest = rows.select("row", F.explode("lack").alias("x")).select("row", "x.pos", "x.unit").join(known.select("unit", "ids"), "unit")
     holes = rest.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("holes"))
     place = lambda k: F.get("holes", k)
     before = lambda k: F.when(k == 0, F.lit(0)).otherwise(place(k - 1)["pos"])
     after = lambda k: F.coalesce(place(k)["pos"], F.size("parts") + 1)
-    filled = F.flatten(F.transform(F.sequence(F.lit(0), F.size("holes")), lambda k: F.concat(F.flatten(F.slice("parts", before(k) + 1, after(k) - before(k) - 1)), F.coalesce(place(k)["ids"], F.array().cast("array<int>")))))
-    ids = F.when(F.col("holes").isNull(), F.flatten("parts")).otherwise(filled)
+    filled = F.flatten(F.transform(F.sequence(F.lit(0), F.size("holes")), lambda k: F.concat(F.slice("parts", before(k) + 1, after(k) - before(k) - 1), F.coalesce(place(k)["ids"], F.array().cast("array<int>")))))
+    ids = F.when(F.col("holes").isNull(), F.col("parts")).otherwise(filled)
     return rows.drop("lack").join(holes, "row", "left").select("row", *keep, ids.alias("ids"))
 
 

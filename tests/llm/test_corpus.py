@@ -295,3 +295,22 @@ def test_viterbi_fold_is_the_best_path(spark):
     rows = pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), table, 3)
     for r in rows.select("unit", pieces.viterbi(F.col("unit"), F.col("edges"), 3).alias("p")).collect():
         assert "".join(r.p) == r.unit and sum(score[x] for x in r.p) == pytest.approx(best(r.unit))
+
+
+def test_sentencepiece_with_a_small_memory(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "MEMORY", 2)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rows = [(1, "the cat, the hat.\nThe end"), (2, "the the the"), (3, "12 cats' x2 [the]"), (4, "漢the字 \x00"), (5, None)]
+    done = pieces.encode(docs(spark, rows), PIECE)
+    assert {r.doc_id: list(r.ids) for r in done.collect()} == {d: sp.encode(t or "") for d, t in rows}
+    assert all(r.text == r.back for r in pieces.decode(done.select("ids", F.coalesce("text", F.lit("")).alias("back")), PIECE).collect())
+
+
+def test_cuts_are_only_where_no_piece_has_such_neighbours():
+    import regex
+
+    pattern = pieces.cuts([" ab", "b", "1.", "."]).replace(r"\z", r"\Z")
+    cut = lambda t: [x for x in regex.split(pattern, t, flags=regex.V1) if x]
+    assert cut(" ab ab") == [" ab", " ab"] and cut(" a1.2é漢") == [" a", "1.", "2", "é", "漢"]
