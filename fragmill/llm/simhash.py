@@ -1,8 +1,7 @@
 """Near-duplicate documents by SimHash fingerprints and bit-sliced comparison.
 
 Fingerprints are taken in place and equal ones become one node. Keys bring together nodes that may
-link: for a small radius the pigeonhole principle gives keys that miss no link; for the wide radius of a
-similarity threshold, bands of a second fingerprint do. In a group of a key, fingerprints stand as bit
+link: the pigeonhole principle gives keys that miss no link. In a group of a key, fingerprints stand as bit
 planes, 64 rows to a word, and many distances are counted at once by carry-save bitwise
 counters; a word is abandoned once its rows are all beyond the radius. A group yields links from each
 node to the least node it is connected with in the group, never all pairs. Larger groups are cut
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, written
 from .components import components
+from .near import deduplicated, near_groups, words  # noqa: F401 - the near-duplicate stage's names are kept here
 
 #: Rows of a group above which it is cut into pairs of blocks.
 BLOCK = 16384
@@ -31,11 +31,6 @@ SHORT = 24
 # ---- fingerprints -------------------------------------------------------------------------------
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return (text or b"").lower().split()
-
-
 def majority(hashes: np.ndarray) -> np.ndarray:
     """rows by words of hashes to one row: bits that more than half of the rows have set."""
     if not len(hashes):
@@ -65,30 +60,6 @@ def shingle_print(text: bytes | None, k: int = 4, seed: int = 42) -> int:
     return int(majority(np.array(hashes, np.uint64)[:, None])[0])
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_prints(text: bytes | None, shapes: list[tuple[int, int]]) -> list[bytes]:
-    """For each (k, words of 64 bits): a fingerprint of the set of k-word shingles."""
-    import xxhash
-
-    w = np.array([xxhash.xxh64_intdigest(x) for x in words(text)], np.uint64)
-    out = []
-    with np.errstate(over="ignore"):
-        for k, n_words in shapes:
-            k = min(k, len(w)) or 1
-            h = np.zeros(max(0, len(w) - k + 1), np.uint64)
-            for j in range(k):
-                h = _mix(h + w[j : len(w) - k + 1 + j] + np.uint64(j + 1))
-            h = np.unique(h)
-            salts = _mix(np.arange(1, n_words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            out.append(majority(_mix(h[:, None] ^ salts[None, :])).tobytes())
-    return out
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
 
@@ -343,68 +314,5 @@ def _bytes(column: str) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
 
 
-# ---- a similarity threshold: wide prints --------------------------------------------------------
-
-
-def differing(similarity: float) -> float:
-    """The expected share of differing bits of two sets' prints at a Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def bands_for(n: int, k: int, key_k: int, similarity: float, miss: float = 0.01) -> tuple[int, int]:
-    """Bits of a band and number of bands: keys longer than n prints need, and few enough pairs missed.
-
-    An edited word costs k of the k-word shingles but only key_k of the shorter ones that keys are
-    made of, so pairs at the threshold agree on long keys more often.
-    """
-    changed = (1 - similarity) / (1 + similarity) * key_k / k
-    agree = 1 - differing((1 - changed) / (1 + changed))
-    bits = min(32, max(16, math.ceil(math.log2(max(n, 2))) + 2))
-    return bits, math.ceil(math.log(miss) / math.log(1 - agree**bits))
-
-
-def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, key_k: int = 2, print_words: int = 16, block: int = BLOCK) -> DataFrame:
-    """doc_id long, component_id long of documents alike in their k-word shingles; rows without a partner are their own.
-
-    The similarity of two documents' shingle sets is estimated from wide prints (1024 bits), whose
-    differing bits lie within about 1.1 % (one deviation) of the expected share; the radius allows for 1.5
-    deviations, so pairs at the threshold are kept rather than missed. Cases as in clusters().
-    """
-    n = docs.count()
-    bits, n_bands = bands_for(n, k, key_k, similarity)
-    key_words = -(-bits * n_bands // 64)
-    share = differing(similarity)
-    radius = int(64 * print_words * share + 1.5 * math.sqrt(64 * print_words * share * (1 - share)))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            both = [wide_prints(t, [(k, print_words), (key_k, key_words)]) for t in batch.column("text").to_pylist()]
-            keys = []
-            for _, x in both:
-                flat = np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")[: bits * n_bands]
-                keys.append(flat.reshape(n_bands, bits) @ weights)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in both], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "print", "keys"])
-
-    prints = written(_texts(docs).mapInArrow(run, "doc_id long, print binary, keys array<long>"), "wide-prints")
-    copies = prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")).where(F.col("node").isNotNull())
-    nodes = written(copies, "wide-nodes")
-    keyed = nodes.select("node", F.posexplode("keys").alias("t", "key"))
-    found = components(links(keyed, nodes.select("node", "print"), radius, block))
-    plain = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", "print").join(plain, "print", "left").select("doc_id", "component_id")
-
-
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one document of each near-duplicate group: the one of least doc_id stays.
-
-    Of rows that repeat that doc_id one stays. Rows with a null doc_id can't be told apart and stay.
-    """
-    groups = near_groups(docs, **options)
-    losers = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti")
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
-
-
 def op7_simhash_near_dedup(spark, sf_dir):
     return clusters(table(spark, sf_dir, "documents"))
