@@ -9,12 +9,13 @@ known by 64-bit hashes; nothing else is estimated.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -30,6 +31,8 @@ SPREAD = 2048
 BLOCK = 16384
 #: Of a text's shingles that are dealt to several tasks, those that give pairs in the first round.
 FIRST = 4
+#: Buckets that a set's shingles are counted in.
+BUCKETS = 256
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -214,8 +217,56 @@ def _by_group(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, k: int, p: int, q: int) -> DataFrame:
+def counts(h: np.ndarray) -> np.ndarray:
+    """Shingles in each bucket, 255 at most: two sets differ by as many shingles at least as their counts do."""
+    return np.minimum(np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def _counts(nodes: DataFrame, k: int) -> DataFrame:
+    """node long, size int, counts binary; a row a text and task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            found = []
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if node not in done:
+                    done.add(node)
+                    h = shingles(text, k)
+                    found.append((node, len(h), counts(h).tobytes()))
+            node, size, held = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(held, pa.binary())], names=["node", "size", "counts"])
+
+    made = nodes.select("node", "text").mapInArrow(run, "node long, size int, counts binary")
+    return written(made.distinct(), "shingle-counts")
+
+
+def _hopeful(pairs: DataFrame, held: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs without those whose counts differ by more than the similarity allows: no pair of it is lost."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in ("x", "y"))
+            size = np.asarray(batch.column("n")).astype(np.int64)
+            keep = np.abs(x - y).sum(axis=1) * (p + q) <= (q - p) * size
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    joined = pairs.join(held.toDF("a", "m", "x"), "a").join(held.toDF("b", "n", "y"), "b")
+    return written(joined.select("a", "b", (F.col("m") + F.col("n")).alias("n"), "x", "y").mapInArrow(run, "a long, b long"), "near-hopeful")
+
+
+def _released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is written and no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, held: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """Of pairs a, b those whose sets have the similarity."""
+    pairs = _hopeful(pairs, held, p, q)
+    _released(pairs.sparkSession)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = nodes.groupBy("node").agg(F.first("text").alias("text")).join(ends, "node", "left_semi")
 
@@ -233,8 +284,10 @@ def _linked(pairs: DataFrame, nodes: DataFrame, k: int, p: int, q: int) -> DataF
                 keep.append(int((both[1:] == both[:-1]).sum()) * (p + q) >= p * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = written(texts.mapInArrow(sets, "node long, set binary"), "shingle-sets")
-    joined = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    whole = written(texts.mapInArrow(sets, "node long, set binary"), "shingle-sets")
+    del texts
+    _released(pairs.sparkSession)
+    joined = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
     return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 
 
@@ -249,8 +302,12 @@ def linked(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BL
             yield from first_round(g, node, sl, token, kind, p, q)
 
     found = written(tokens.repartition("g").sortWithinPartitions("g", "node").mapInArrow(first, "kind byte, x long, y long, z long"), "near-found")
+    del tokens
+    _released(docs.sparkSession)
+    held = _counts(nodes, k)
     pairs = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = _linked(pairs, nodes, k, p, q)
+    links = _linked(pairs, nodes, held, k, p, q)
+    _released(docs.sparkSession)
     groups = components(links)
     large = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"), F.col("z").alias("sl"))
     large = large.join(groups, "node", "left").select("token", "node", "sl", F.coalesce("component", "node").alias("label"))
@@ -272,7 +329,7 @@ def linked(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BL
     blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
     rows = left.withColumn("p", F.explode(blocks)).select(F.xxhash64("token", "p.i", "p.j").alias("g"), "node", "sl", "label")
     more = rows.repartition("g").sortWithinPartitions("g").mapInArrow(second, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    return components(links.union(_linked(written(more, "near-more"), nodes, k, p, q)))
+    return components(links.union(_linked(more, nodes, held, k, p, q)))
 
 
 def _rows(docs: DataFrame, **options) -> DataFrame:

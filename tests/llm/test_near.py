@@ -121,3 +121,13 @@ def test_rows_of_one_id_go_their_own_ways(spark):
     want = [(1, a), (2, b), (3, c), (3, d), (6, "twice"), (None, "alone")]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
     assert near.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_counts_never_exceed_the_difference():
+    rng = random.Random(8)
+    for n in (3, 300, 3000):
+        a = near.shingles(" ".join(prose(rng, n)).encode())
+        b = near.shingles(" ".join(prose(rng, n)).encode())
+        x, y = near.counts(a).astype(int), near.counts(b).astype(int)
+        assert abs(x - y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert not abs(x - near.counts(a).astype(int)).sum()
