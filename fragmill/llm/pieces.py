@@ -3,35 +3,59 @@
 A text, with the space it is given in front, is cut wherever a character of one class meets one of another class
 and no piece of the vocabulary has such neighbours; no path and no merge goes over such a cut. The parts are its
 units. Distinct units are exploded into substrings of bounded length, an equi-join with the piece table keeps those
-that are pieces (the lattice's edges), edges are grouped by unit, and a higher-order aggregate folds them
-into the unit's pieces. The MEMORY most frequent units then go back to the documents in a table of buckets that
-every task holds, inside the row; the rest meet their documents by a join.
+that are pieces (the lattice's edges), edges are grouped by unit, and a higher-order aggregate folds them into the
+unit's pieces. Units' ids then go back to the documents: the MEMORY most frequent ones of a sample of documents in a
+dictionary that every worker holds, all others by an equi-join with their places. Which units are held changes
+no result.
 
-Two folds: viterbi() takes the path of the highest sum of scores, as unigram models do. A BPE model's scores are
-the order of its merges and its result is not that path, so for BPE models merges() folds the same lattice by
-merging, again and again, the neighbours whose union is the best piece. What the vocabulary lacks becomes bytes.
+Two folds over a unit's edges:
+
+* best_path(), for unigram models: Viterbi, edges in the order of their ends; the highest sum of scores wins.
+* merged(), for BPE models. A BPE model's scores are the order of its merges, and its encoding is not the path of the
+  best sum, so Viterbi can't give it. Edges are folded best score first, the left one of equals, and an edge is taken if
+  just two parts make it up at that moment. One pass is enough where every piece is made from pieces of better
+  scores alone, which orderly() makes sure of for a vocabulary; a vocabulary that isn't so is refused.
+
+What the vocabulary lacks becomes bytes.
 
 Cases: a null or empty text has no ids. Repeated rows are encoded each. A null doc_id is kept. An empty table gives no
-rows. Other columns are ignored. A fold's work grows with the square of a unit's length, not of a text's.
+rows. Other columns are ignored. Units have no longest length: up to 61 characters a fold's state is one number, and
+beyond that a string of bytes, one a character, which each taken edge copies.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import table, tokenizer_path, written
 
 _SPACE = "▁"
 #: Classes of characters as ranges, so that all libraries agree on them; what is in none is a class too.
 CLASSES = ("A-Za-zÀ-ÖØ-öø-ÿ", "0-9", " ", r"\x00-\x1F!-/:-@\[-`{-\x7F")
-#: Units whose ids every task holds (the most frequent ones), and the buckets they are found by.
-MEMORY, BUCKETS = 200_000, 1 << 17
-_HOLE = -1
+#: Units that every worker holds, their characters at most, and the characters of the sample they are counted in.
+MEMORY, HELD_LENGTH, SAMPLE = 400_000, 48, 1 << 28
+#: Distinct units that one task makes lattices of, and units of a document table's task that are counted at once.
+TASK_UNITS, COUNTED = 40_000, 1 << 18
+#: Characters of a unit up to which the fold's state is one number: a bit a place, the end included.
+SHORT = 61
 
 
-def piece_table(spark: SparkSession, model: str) -> DataFrame:
-    """piece (spaces as such), id, score, is_byte. As many rows as the vocabulary has."""
+# ---- vocabulary ---------------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=4)
+def vocabulary(model: str) -> tuple[tuple[str | None, int, float, bool], ...]:
+    """piece (spaces as such; None for a byte), id, score, is_byte."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -41,190 +65,353 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
             rows.append((None, k, 0.0, True))
         elif not (sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)):
             rows.append((sp.id_to_piece(k).replace(_SPACE, " "), k, sp.get_score(k), False))
-    return spark.createDataFrame(rows, "piece string, id int, score double, is_byte boolean")
+    return tuple(rows)
+
 
+def piece_table(spark: SparkSession, model: str) -> DataFrame:
+    """piece (spaces as such), id, score, is_byte. As many rows as the vocabulary has."""
+    return spark.createDataFrame(vocabulary(model), "piece string, id int, score double, is_byte boolean")
 
-def piece_bytes(model: str) -> list[str]:
-    """Each id's bytes in hexadecimal; none for control pieces."""
+
+@lru_cache(maxsize=4)
+def piece_bytes(model: str) -> list[bytes]:
+    """Each id's bytes; none for control pieces."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     silent = lambda k: sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)
-    return [sp.id_to_piece(k)[3:5].upper() if sp.is_byte(k) else "" if silent(k) else sp.id_to_piece(k).replace(_SPACE, " ").encode().hex().upper() for k in range(sp.vocab_size())]
+    return [bytes.fromhex(sp.id_to_piece(k)[3:5]) if sp.is_byte(k) else b"" if silent(k) else sp.id_to_piece(k).replace(_SPACE, " ").encode() for k in range(sp.vocab_size())]
 
 
-def cuts(pieces: list[str]) -> str:
-    """A pattern of the places between two classes of characters that no piece has as neighbours. It may be empty."""
-    import re
+@lru_cache(maxsize=4)
+def orderly(model: str) -> bool:
+    """Whether every piece that merging makes is made by merges of better scores than its own.
 
+    Equal scores are allowed among pieces that repeat one character: merges of a run go from left to right.
+    """
+    score = {p: s for p, _, s, is_byte in vocabulary(model) if not is_byte}
+    tied = Counter(s for p, s in score.items() if len(p) > 1)
+    for piece, own in score.items():
+        parts, run = list(piece), len(set(piece)) == 1
+        if len(parts) > 1 and tied[own] > 1 and not run:
+            return False
+        while len(parts) > 2:
+            best = max(((score[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score), default=None)
+            if best is None:
+                break
+            if best[0] < own or (best[0] == own and not run):
+                return False
+            k = -best[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return True
+
+
+# ---- units --------------------------------------------------------------------------------------
+
+
+def _one_of(kinds: set[int]) -> str:
+    if len(CLASSES) in kinds:
+        return f"[^{''.join(c for k, c in enumerate(CLASSES) if k not in kinds)}]"
+    return f"[{''.join(CLASSES[k] for k in sorted(kinds))}]"
+
+
+def _follows(pieces: Iterable[str]) -> dict[int, set[int]]:
+    """For each class, the classes that follow it in some piece."""
     every = range(len(CLASSES) + 1)
+    matches = [re.compile(_one_of({k})).match for k in every]
+    kind = lru_cache(maxsize=None)(lambda c: next(k for k, m in enumerate(matches) if m(c)))
+    met = {(kind(a), kind(b)) for p in pieces for a, b in zip(p, p[1:], strict=False)}
+    return {a: {b for b in every if (a, b) in met} for a in every}
 
-    def one_of(kinds: set[int]) -> str:
-        if len(CLASSES) in kinds:
-            return f"[^{''.join(c for k, c in enumerate(CLASSES) if k not in kinds)}]"
-        return f"[{''.join(CLASSES[k] for k in sorted(kinds))}]"
 
-    matches = [re.compile(one_of({k})).match for k in every]
-    kind = lambda c: next(k for k, m in enumerate(matches) if m(c))
-    met = {(kind(a), kind(b)) for p in pieces for a, b in zip(p, p[1:])}
-    apart = {a: {b for b in every if (a, b) not in met} for a in every}
+def cuts(pieces: Iterable[str]) -> str:
+    """A pattern of the places between two classes of characters that no piece has as neighbours. It may be empty."""
+    every, after = set(range(len(CLASSES) + 1)), _follows(pieces)
     # The complement of no class would be an empty set; there any character will do, but not the end.
-    return "|".join(f"(?<={one_of({a})})" + (f"(?={one_of(apart[a])})" if len(apart[a]) < len(every) else r"(?!\z)") for a in every if apart[a])
+    return "|".join(f"(?<={_one_of({a})})" + (f"(?={_one_of(every - b)})" if b else r"(?!\z)") for a, b in after.items() if every - b)
+
+
+def unit_pattern(pieces: Iterable[str]) -> str:
+    """A pattern of one unit: runs of a class, each but the last followed by a class that may follow it."""
+    after = _follows(pieces)
+    run = {a: _one_of({a}) + ("++" if a in b else "") for a, b in after.items()}
+    on = "|".join(f"{run[a]}(?={_one_of(b - {a})})" for a, b in after.items() if b - {a})
+    return (f"(?:{on})*+" if on else "") + f"(?:{'|'.join(run.values())})"
 
 
-def units(text: Column, pattern: str) -> Column:
-    """array<string>: the units of a text with the space that every text is given in front."""
-    whole = F.concat(F.lit(" "), text)
-    return F.when(F.length(text) > 0, F.split(whole, pattern) if pattern else F.array(whole)).otherwise(F.array().cast("array<string>"))
+@lru_cache(maxsize=4)
+def splitter(pattern: str) -> Callable[[str | None], list[str]]:
+    """A text's units, with the space that every text is given in front; none of a null or empty text."""
+    found = re.compile(pattern, re.DOTALL).findall
+    return lambda text: found(" " + text) if text else []
 
 
-def _at(start: Column, length: Column) -> Column:
-    """An edge's key: where it starts (from 1) and how many characters it has."""
-    return F.shiftleft(start.cast("long"), 32) + length
+# ---- lattice and folds --------------------------------------------------------------------------
 
 
 def lattice(distinct: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, edges map<long, struct(id, score)>: the pieces among its substrings of at most `longest` characters.
+    """unit, edges array<struct(cost, end, len, id)>: the pieces among its substrings of at most `longest` characters.
 
-    The piece table is broadcast: its size is the vocabulary's. Units that are dealt by `unit` are not moved again by
-    the join or the grouping. An edge of no characters keeps the units that have no piece.
+    Every single character is an edge, with a null id if it is no piece. cost is the score's negative. The piece
+    table is broadcast: its size is the vocabulary's. Units that are dealt by `unit` are not moved again by the join or
+    the grouping.
     """
-    n = F.length("unit")
-    here = lambda s, k: F.struct(_at(s, k).alias("at"), F.substring(F.col("unit"), s, k).alias("piece"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s + 1)), lambda k: here(s, k))))
-    none = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("piece")))
-    known = pieces.where("NOT is_byte AND piece <> ''").select("piece", "id", "score").union(pieces.sparkSession.sql("SELECT '', -1, 0D"))
-    edges = distinct.select("unit", F.explode(F.concat(none, spans)).alias("x")).select("unit", "x.at", "x.piece").join(F.broadcast(known), "piece")
-    return edges.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("id", "score").alias("v")))).alias("edges"))
+    known = pieces.where("NOT is_byte AND piece <> ''").select("piece", "id", (-F.col("score")).alias("cost"))
+    starts = distinct.where("unit <> ''").select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("s"))
+    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s") + 1))).alias("len"))
+    spans = spans.select("unit", (F.col("s") + F.col("len") - 1).alias("end"), "len", F.substring("unit", F.col("s"), F.col("len")).alias("piece"))
+    edges = spans.join(F.broadcast(known), "piece", "left").where("id IS NOT NULL OR len = 1")
+    return edges.groupBy("unit").agg(F.collect_list(F.struct("cost", "end", "len", "id")).alias("edges"))
 
 
-def merged_starts(unit: Column, edges: Column) -> Column:
-    """array<int>: where a unit's pieces start, and its end, by a BPE model: the best-scored union of neighbours first, the left one of equals.
+def _bits(edge: Column) -> tuple[Column, Column]:
+    """The places at an edge's ends, and those inside, as bits of a number."""
+    span, start = F.call_function("shiftleft", F.lit(1).cast("long"), edge["len"]), edge["end"] - edge["len"]
+    return F.call_function("shiftleft", span + 1, start), F.call_function("shiftleft", span - 2, start)
 
-    The state has a mark in front, 1 when nothing is left to merge.
+
+def _sorted_parts(edges: Column) -> Column:
+    return F.sort_array(F.transform(edges, lambda e: F.struct(e["end"], e["len"], e["id"])))
+
+
+def merged(unit: Column, edges: Column) -> Column:
+    """array<struct(end, len, id)>: a unit's pieces by a BPE model's merges, best score first, the left one of equals.
+
+    The state is the set of places between parts. An edge is merged if both its ends are such places and just one lies
+    inside; edges whose ends are places with none inside are what is left.
     """
-    start = F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.length(unit) + 1))
+    ordered = F.sort_array(F.filter(edges, lambda e: e["len"] > 1))
 
-    def step(held: Column, _: Column) -> Column:
-        def union(i: Column) -> Column:
-            first = F.get(held, i)
-            return F.struct(edges[_at(first, F.get(held, i + 2) - first)]["score"].alias("score"), (-i).alias("i"))
+    def step(state: Column, edge: Column) -> Column:
+        ends, inner = _bits(edge)
+        taken = (state.bitwiseAND(ends) == ends) & (F.bit_count(state.bitwiseAND(inner)) == 1)
+        return F.when(taken, state.bitwiseAND(F.bitwise_not(inner))).otherwise(state)
 
-        # An array of the one best pair, so that it is worked out once.
-        best = F.array(F.array_max(F.transform(F.sequence(F.lit(1), F.size(held) - 3), union)))
-        without = lambda b: F.filter(held, lambda _, i: i != 1 - b["i"])
-        done = F.concat(F.array(F.lit(1)), F.slice(held, F.lit(2), F.size(held) - 1))
-        return F.when((F.get(held, F.lit(0)) == 1) | (F.size(held) < 4), held).otherwise(F.get(F.transform(best, lambda b: F.when(b["score"].isNull(), done).otherwise(without(b))), F.lit(0)))
+    def left(state: Column, edge: Column) -> Column:
+        ends, inner = _bits(edge)
+        return state.bitwiseAND(ends.bitwiseOR(inner)) == ends
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(unit) - 1)), start, step, lambda held: F.slice(held, F.lit(2), F.size(held) - 1))
+    every = F.call_function("shiftleft", F.lit(2).cast("long"), F.length(unit)) - 1
+    short = F.aggregate(ordered, every, step, lambda state: _sorted_parts(F.filter(edges, lambda e: left(state, e))))
 
+    # The same with a byte for each place.
+    window = lambda state, e: F.substring(state, e["end"] - e["len"] + 1, e["len"] + 1).cast("string")
+    gap = lambda e: F.concat(F.lit("1"), F.repeat(F.lit("0"), e["len"] - 1), F.lit("1")).cast("binary")
+    put = lambda state, e: F.when(window(state, e).rlike("^10*10*1$"), F.overlay(state, gap(e), e["end"] - e["len"] + 1, e["len"] + 1)).otherwise(state)
+    whole = F.repeat(F.lit("1"), F.length(unit) + 1).cast("binary")
+    long = F.aggregate(ordered, whole, put, lambda state: _sorted_parts(F.filter(edges, lambda e: window(state, e).rlike("^10*1$"))))
+    return F.when(F.length(unit) <= SHORT, short).otherwise(long)
 
-def best_starts(unit: Column, edges: Column, longest: int, unknown: float = -1e4) -> Column:
-    """array<int>: where the pieces start, and the end, of the path of the highest sum of scores; a character that is no piece costs `unknown`.
 
-    The first fold's state is, for each place, the best score and the length of the piece that ends there; the second goes back.
-    """
-    state = "struct<score:double,k:int>"
-    none = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("k")).cast(state))
+def best_path(unit: Column, edges: Column, unknown: float = 1e4) -> Column:
+    """array<struct(end, len, id)>: a unit's pieces on the path of the highest sum of scores; a character that is no piece costs `unknown`.
 
-    def step(best: Column, end: Column) -> Column:
-        def via(k: Column) -> Column:
-            score = F.coalesce(edges[_at(end - k + 1, k)]["score"], F.when(k == 1, F.lit(unknown)))
-            return F.struct((F.get(best, end - k)["score"] + score).alias("score"), k.alias("k")).cast(state)
+    The first fold's state is, for each place, the least cost and the edge that ends there; the second goes back.
+    """
+    state = "struct<cost:double,len:int,id:int>"
+    ordered = F.sort_array(F.transform(edges, lambda e: F.struct(e["end"], e["len"], e["id"], F.coalesce(e["cost"], F.lit(unknown)).alias("cost"))))
+    first = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("len"), F.lit(None).cast("int").alias("id")).cast(state))
 
-        ways = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), end)), via), lambda w: w["score"].isNotNull())
-        return F.concat(best, F.array(F.array_max(ways)))
+    def step(best: Column, e: Column) -> Column:
+        via = F.struct((F.get(best, e["end"] - e["len"])["cost"] + e["cost"]).alias("cost"), e["len"], e["id"]).cast(state)
+        fresh = F.size(best) == e["end"]
+        better = F.get(best, e["end"])["cost"] > via["cost"]
+        return F.when(fresh, F.concat(best, F.array(via))).when(better, F.concat(F.slice(best, F.lit(1), e["end"]), F.array(via))).otherwise(best)
 
     def back(best: Column) -> Column:
-        whole = F.size(best)
-        onto = lambda held, _: F.when(F.get(held, F.lit(0)) == 1, held).otherwise(F.concat(F.array(F.get(held, F.lit(0)) - F.get(best, F.get(held, F.lit(0)) - 1)["k"]), held))
-        return F.aggregate(F.sequence(F.lit(1), whole - 1), F.array(whole), onto)
+        none = F.array().cast("array<struct<end:int,len:int,id:int>>")
 
-    return F.when(F.length(unit) > 0, F.aggregate(F.sequence(F.lit(1), F.length(unit)), none, step, back)).otherwise(F.array(F.lit(1)))
+        def onto(held: Column, end: Column) -> Column:
+            here = F.get(best, end)
+            due = F.coalesce(F.get(held, F.lit(0))["end"] - F.get(held, F.lit(0))["len"], F.length(unit))
+            return F.when(due == end, F.concat(F.array(F.struct(end.alias("end"), here["len"], here["id"])), held)).otherwise(held)
 
+        return F.aggregate(F.sequence(F.length(unit), F.lit(1), F.lit(-1)), none, onto)
 
-def _each_piece(starts: Column, of) -> Column:
-    """An array of of(start, length) for each piece."""
-    here = lambda i: of(F.get(starts, i - 1), F.get(starts, i) - F.get(starts, i - 1))
-    return F.when(F.size(starts) > 1, F.transform(F.sequence(F.lit(1), F.size(starts) - 1), here))
+    return F.when(F.length(unit) > 0, F.aggregate(ordered, first, step, back))
 
 
-def viterbi(unit: Column, edges: Column, longest: int, unknown: float = -1e4) -> Column:
+def viterbi(unit: Column, edges: Column, longest: int = 0, unknown: float = 1e4) -> Column:
     """array<string>: the unit's path of the highest sum of scores."""
-    return F.coalesce(_each_piece(best_starts(unit, edges, longest, unknown), lambda s, k: F.substring(unit, s, k)), F.array().cast("array<string>"))
+    return F.transform(best_path(unit, edges, unknown), lambda p: F.substring(unit, p["end"] - p["len"] + 1, p["len"]))
 
 
-def piece_ids(unit: Column, starts: Column, edges: Column, first_byte: int | None) -> Column:
+def piece_ids(unit: Column, parts: Column, first_byte: int | None) -> Column:
     """array<int>: ids of pieces; of one that isn't in the vocabulary, the ids of its bytes, which follow one another."""
-    octets = lambda p: F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "$1 "), " "), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int") + first_byte)
-    lost = (lambda s, k: F.array().cast("array<int>")) if first_byte is None else (lambda s, k: octets(F.substring(unit, s, k)))
-    known = lambda s, k: edges[_at(s, k)]["id"]
-    return F.flatten(_each_piece(starts, lambda s, k: F.when(known(s, k).isNotNull(), F.array(known(s, k))).otherwise(lost(s, k))))
+    text = lambda p: F.hex(F.encode(F.substring(unit, p["end"] - p["len"] + 1, p["len"]), "UTF-8"))
+    octets = lambda h: F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda k: F.conv(F.substring(h, k, F.lit(2)), 16, 10).cast("int") + first_byte)
+    lost = (lambda p: F.array().cast("array<int>")) if first_byte is None else (lambda p: octets(text(p)))
+    each = lambda ps: F.flatten(F.transform(ps, lambda p: F.when(p["id"].isNull(), lost(p)).otherwise(F.array(p["id"]))))
+    # An array of the one array of parts, so that it is worked out once.
+    return F.get(F.transform(F.array(parts), lambda ps: F.when(F.exists(ps, lambda p: p["id"].isNull()), each(ps)).otherwise(F.transform(ps, lambda p: p["id"]))), F.lit(0))
 
 
 def encoded_units(distinct: DataFrame, pieces: DataFrame, unigram: bool = False) -> DataFrame:
-    """unit, ids of (unit, n); n is kept."""
+    """unit, ids of every unit."""
     longest, first_byte = pieces.agg(F.max(F.length("piece")), F.min(F.when(F.col("is_byte"), F.col("id")))).first()
     rows = lattice(distinct, pieces, longest)
-    fold = best_starts(F.col("unit"), F.col("edges"), longest) if unigram else merged_starts(F.col("unit"), F.col("edges"))
-    return rows.select("unit", "edges", fold.alias("starts")).select("unit", piece_ids(F.col("unit"), F.col("starts"), F.col("edges"), first_byte).alias("ids"))
+    fold = best_path if unigram else merged
+    return rows.select("unit", piece_ids(F.col("unit"), fold(F.col("unit"), F.col("edges")), first_byte).alias("ids"))
+
+
+# ---- over documents -----------------------------------------------------------------------------
 
 
-def memory(known: DataFrame) -> DataFrame:
-    """One row, one array of BUCKETS arrays of (unit, ids): the MEMORY most frequent units of (unit, n, ids)."""
-    top = known.orderBy(F.desc("n"), "unit").limit(MEMORY).select(F.pmod(F.xxhash64("unit"), F.lit(BUCKETS)).alias("id"), F.struct("unit", "ids").alias("entry"))
-    dense = known.sparkSession.range(BUCKETS).join(top, "id", "left").groupBy("id").agg(F.collect_list("entry").alias("entries"))
-    return dense.select(F.transform(F.array_sort(F.collect_list(F.struct("id", "entries"))), lambda x: x["entries"]))
+def _frequent(docs: DataFrame, pattern: str) -> DataFrame:
+    """unit: MEMORY units at most, the most frequent ones of a sample of SAMPLE characters."""
+    sizes = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
+    share = min(1.0, SAMPLE / max(1, sizes[1] or 0))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, held = splitter(pattern), Counter()
+        out = lambda: pa.RecordBatch.from_pydict({"unit": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.update(split(text))
+                if len(held) > COUNTED:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    some = docs.select("text") if share == 1 else docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = some.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counts = written(counts.where(F.length("unit") <= HELD_LENGTH), "units")
+    # As many rows as there are different counts, fewer than the root of twice the sample's size.
+    least, room = 1 << 62, MEMORY
+    for n, k in sorted(((r.n, r.k) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):
+        room -= k
+        if room < 0:
+            break
+        least = n
+    return counts.where(F.col("n") >= least).select("unit")
+
+
+def _dealt(units: DataFrame) -> DataFrame:
+    """Rows of unit, dealt by it, about TASK_UNITS to a task: lattices are far larger than the units that an adaptive plan sees."""
+    return units.repartition(max(1, -(-units.count() // TASK_UNITS)), "unit")
 
 
 def encode(docs: DataFrame, model: str, unigram: bool = False, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """row, the columns to keep, ids of documents with a text; row numbers the rows."""
-    pieces = piece_table(docs.sparkSession, model)
-    pattern = cuts([r.piece for r in pieces.where("piece IS NOT NULL").select("piece").collect()])
-    split = units(F.col("text").cast("string"), pattern)
-    counted = written(docs.select(F.explode(split).alias("unit")).groupBy("unit").agg(F.count("*").alias("n")), "counts")
-    known = written(counted.join(encoded_units(counted.select("unit").repartition("unit"), pieces, unigram), "unit"), "units")
-
-    # A subquery may not be written inside a higher-order function; used once, the optimizer puts it there.
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, split.alias("units")).withColumn("held", memory(known).scalar())
-    bucket = lambda u: F.get("held", F.pmod(F.xxhash64(u), F.lit(BUCKETS)).cast("int"))
-    found = lambda u: F.get(F.filter(bucket(u), lambda e: e["unit"] == u), F.lit(0))["ids"]
-    rows = rows.select("row", *keep, "units", F.transform("units", found).alias("parts"))
-    # One flat array, in which a mark stands for a unit that isn't held.
-    rows = rows.select("row", *keep, F.filter("units", lambda u, i: F.get("parts", i).isNull()).alias("lack"), F.flatten(F.transform("parts", lambda p: F.coalesce(p, F.array(F.lit(_HOLE))))).alias("parts"))
-    marks = F.filter(F.transform("parts", lambda x, i: F.when(x == _HOLE, i + 1)), lambda i: i.isNotNull())
-    rows = written(rows.withColumn("lack", F.arrays_zip(marks.alias("pos"), F.col("lack").alias("unit"))), "resolved")
-
-    rest = rows.select("row", F.explode("lack").alias("x")).select("row", "x.pos", "x.unit").join(known.select("unit", "ids"), "unit")
-    holes = rest.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("holes"))
-    place = lambda k: F.get("holes", k)
-    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(place(k - 1)["pos"])
-    after = lambda k: F.coalesce(place(k)["pos"], F.size("parts") + 1)
-    filled = F.flatten(F.transform(F.sequence(F.lit(0), F.size("holes")), lambda k: F.concat(F.slice("parts", before(k) + 1, after(k) - before(k) - 1), F.coalesce(place(k)["ids"], F.array().cast("array<int>")))))
-    ids = F.when(F.col("holes").isNull(), F.col("parts")).otherwise(filled)
-    return rows.drop("lack").join(holes, "row", "left").select("row", *keep, ids.alias("ids"))
+    """row, the columns to keep, ids array<int> of every document; row numbers the rows.
+
+    Texts are read twice and split in place. The first time, units that aren't held give their places in the text,
+    which meets their ids by an equi-join; a text is known by 16 bytes of its hash, so that copies ask once. The
+    second time a document's ids, with a mark for each unit that isn't held, meet those ids.
+    """
+    spark = docs.sparkSession
+    if not unigram and not orderly(model):
+        raise ValueError("a piece of this vocabulary is made of pieces with worse scores")
+    pieces = piece_table(spark, model)
+    pattern = unit_pattern([p for p, _, _, _ in vocabulary(model) if p])
+    hole = len(vocabulary(model)) + 1024
+    code = "<u2" if hole < 1 << 16 else "<u4"
+    plain = docs.select(F.col("text").cast("string").alias("text"))
+    top = encoded_units(_dealt(_frequent(plain, pattern)), pieces, unigram).toArrow()
+    memory = spark.sparkContext.broadcast({u: np.array(i, code).tobytes() for u, i in zip(top.column("unit").to_pylist(), top.column("ids").to_pylist(), strict=True)})
+
+    def lacking(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, held, seen = splitter(pattern), memory.value, set()
+        for batch in batches:
+            rows: list[list] = [[], [], []]
+            for text in batch.column("text").to_pylist():
+                units = split(text)
+                at = [k for k, u in enumerate(units) if u not in held]
+                if at and (key := _key(text)) not in seen:
+                    seen.add(key)
+                    for to, x in zip(rows, ([key] * len(at), at, [units[k] for k in at]), strict=True):
+                        to += x
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string())], names=["key", "pos", "unit"])
+
+    places = written(plain.mapInArrow(lacking, "key binary, pos int, unit string"), "places")
+    known = encoded_units(_dealt(written(places.select("unit").distinct(), "rare")), pieces, unigram)
+    answers = written(places.join(known, "unit").groupBy("key").agg(F.collect_set(F.struct("pos", "ids")).alias("holes")), "answers")
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, F.col("text").cast("string").alias("_text"))
+    named = rows.drop("_text").schema
+    given = [f"c{k}" for k in range(len(named))]  # names of our own, whatever the columns' are
+    typed = lambda more: ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(given, named, strict=True)), more])
+
+    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        split, held, n = splitter(pattern), memory.value, 0
+        press, gap, task = zstandard.ZstdCompressor(level=1).compress, np.array([hole], code).tobytes(), TaskContext.get().partitionId()
+        for batch in batches:
+            keys, parts = [], []
+            for text in batch.column(len(given)).to_pylist():
+                found = [held.get(u) for u in split(text)]
+                whole = None not in found
+                # A text that lacks nothing gets a key that no other has.
+                keys.append(f"{task}/{(n := n + 1)}".encode() if whole else _key(text))
+                parts.append(press(b"".join(found if whole else [gap if x is None else x for x in found])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(given)], pa.array(keys, pa.binary()), pa.array(parts, pa.binary())], names=[*given, "key", "parts"])
+
+    def filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            out = []
+            for parts, holes in zip(batch.column("parts").to_pylist(), batch.column("holes").to_pylist(), strict=True):
+                ids = np.frombuffer(unpress(parts), code).astype(np.int32)
+                at = np.flatnonzero(ids == hole)
+                if len(at):
+                    fill = [np.array(h["ids"], np.int32) for h in sorted(holes, key=lambda h: h["pos"])]
+                    between = np.split(ids, at)
+                    ids = np.concatenate([between[0], *(x for f, b in zip(fill, between[1:], strict=True) for x in (f, b[1:]))])
+                out.append(ids)
+            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(given)], lists], names=[*given, "ids"])
+
+    whole = rows.toDF(*given, "text").mapInArrow(marked, typed("key binary, parts binary")).join(answers, "key", "left")
+    return whole.select(*given, "parts", "holes").mapInArrow(filled, typed("ids array<int>")).toDF(*named.names, "ids")
+
+
+def _key(text: str) -> bytes:
+    from hashlib import blake2b
+
+    return blake2b(text.encode(), digest_size=16).digest()
+
+
+def text_of(ids: Iterable[int], octets: list[bytes]) -> bytes:
+    """The pieces' bytes put together, without the space in front."""
+    return b"".join(map(octets.__getitem__, ids)).removeprefix(b" ")
 
 
 def decode(docs: DataFrame, model: str) -> DataFrame:
-    """docs with ids to docs with text: pieces' bytes put together, without the space in front, inside the row.
+    """docs with ids to docs with text. Bytes that aren't UTF-8 become replacement marks; null ids, a null text."""
+    octets, docs = piece_bytes(model), docs.drop("text")
+    at = docs.columns.index("ids")
 
-    The table of pieces' bytes has the vocabulary's size. Bytes that aren't UTF-8 become replacement marks.
-    """
-    held = docs.sparkSession.createDataFrame([(piece_bytes(model),)], "bytes array<string>").scalar()
-    h = F.array_join(F.transform("ids", lambda i: F.get("held", i)), "")
-    whole = docs.withColumn("held", held).withColumn("h", h).drop("held")
-    return whole.withColumn("text", F.decode(F.unhex(F.regexp_replace("h", "^20", "")), "UTF-8")).drop("h")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if ids is None else text_of(ids, octets).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("text", StringType())]))
 
 
-def little_endian(ids: Column) -> Column:
-    """The ids' bytes as unsigned 32-bit integers, least byte first."""
-    h = lambda i: F.lpad(F.hex(i), 8, "0")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(*[F.substring(h(i), p, 2) for p in (7, 5, 3, 1)])), ""))
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
 
 
 def op9_sentencepiece(spark, sf_dir):
+    """doc_id, n_tokens, ids_crc32 (of ids as little-endian unsigned 32-bit integers), round_trip (decoding gives the text back)."""
     model = tokenizer_path("piece_bpe_32k.model")
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    docs = table(spark, sf_dir, "documents").withColumn("digest", digest)
-    done = decode(encode(docs, model, keep=("doc_id", "digest")), model)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(little_endian(F.col("ids"))).alias("ids_crc32"), (F.col("digest") == F.sha2("text", 256)).alias("round_trip"))
+    octets = piece_bytes(model)
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        for batch in batches:
+            lists = batch.column("ids")
+            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
+            each = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            same = [sha256(text_of(ids.tolist(), octets)).digest() == d for ids, d in zip(each, batch.column("digest").to_pylist(), strict=True)]
+            columns = [batch.column("doc_id"), pa.array(map(len, each), pa.int64()), pa.array([zlib.crc32(ids.tobytes()) for ids in each], pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_DIGESTS)
+
+    return encode(docs, model, keep=("doc_id", "digest")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
