@@ -77,3 +77,20 @@ def hit_type(start1: Column, fwd1: Column, len1: Column, start2: Column, fwd2: C
 def format_table(spark: SparkSession) -> DataFrame:
     rows = [(n, *c) for n, c in FORMATS.items()]
     return spark.createDataFrame(rows, "name string, type int, orientation int, strandedness int")
+
+
+#: Names of the codes (fixed values), by code.
+TYPE_NAMES = ("single end", "paired end")
+ORIENTATION_NAMES = ("matching", "outward", "inward", "none")
+STRAND_NAMES = ("(sense, antisense)", "(antisense, sense)", "sense", "antisense", "unstranded")
+
+
+def describe(type_: Column, orientation: Column, strandedness: Column) -> Column:
+    """A format in words."""
+    named = lambda names, c: F.get(F.array(*map(F.lit, names)), c)
+    parts = ("Library format { type:", named(TYPE_NAMES, type_), ", relative orientation:", named(ORIENTATION_NAMES, orientation), ", strandedness:", named(STRAND_NAMES, strandedness), " }")
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def direction(fwd: Column) -> Column:
+    return F.when(fwd, "FORWARD").otherwise("REVERSE_COMPLEMENT")

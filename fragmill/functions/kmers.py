@@ -20,8 +20,9 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(F.upper(seq)), "ACGTU", "TGCAA")
 
 
-def next_index(index: Column, base: Column, k: int) -> Column:
-    """The code one base further; an unknown base counts as A."""
+def next_index(index: Column, base: Column, k: int, reverse: bool = False) -> Column:
+    """The code one base further; an unknown base counts as A. reverse: of the base's complement, for a read backwards."""
+    base = reverse_complement(base) if reverse else base
     code = F.coalesce(encode(base), F.lit(0))
     return (index * 4 + code).bitwiseAND(F.lit(4**k - 1))
 
@@ -72,3 +73,34 @@ def digamma(x: Column) -> Column:
     for k in range(6):
         out = out - 1.0 / (x + float(k))
     return out
+
+
+def log_add(x: Column, y: Column) -> Column:
+    """ln(exp(x) + exp(y)); an infinite side stands for zero and gives the other."""
+    none = lambda c: F.abs(c) == F.lit(float("inf"))
+    return F.when(none(x), y).when(none(y), x).otherwise(F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y))))
+
+
+def log_sub(x: Column, y: Column) -> Column:
+    """ln(exp(x) - exp(y)) for x > y; infinite where nothing is left."""
+    return F.when(F.abs(y) == F.lit(float("inf")), x).when(x <= y, F.lit(float("inf"))).otherwise(x + F.log1p(-F.exp(y - x)))
+
+
+def phred_log_right(quality: Column) -> Column:
+    """ln of the probability that a base of this Phred quality is right; -1000 for quality 0."""
+    return F.when(quality <= 0, F.lit(-1000.0)).otherwise(F.log1p(-F.pow(F.lit(10.0), -quality / 10.0)))
+
+
+def pack(tid: Column, offset: Column) -> Column:
+    """A target and a place in it as one number: the target above 32 bits."""
+    return F.shiftleft(tid.cast("long"), 32).bitwiseOR(offset.cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+
+
+def unpack(packed: Column) -> Column:
+    """struct(tid, offset) of pack()."""
+    return F.struct(F.shiftrightunsigned(packed, 32).alias("tid"), packed.bitwiseAND(F.lit((1 << 32) - 1)).alias("offset"))
+
+
+def label_hash(label: Column) -> Column:
+    """A 64-bit hash of an array of targets, in their order."""
+    return F.xxhash64(label)

@@ -87,17 +87,70 @@ def strict_intersection(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("frag_id", "tid", kind.alias("kind"), paired.alias("p"), any_.alias("any")).where("p OR NOT any").select("frag_id", "tid", "kind")
 
 
+def fuzzy_intersection(left: DataFrame, right: DataFrame, matched: DataFrame) -> DataFrame:
+    """As strict_intersection, but mates that hit different targets alone give nothing, nor does a mate alone whose partner matched somewhere.
+
+    matched: frag_id, left, right: whether any k-mer of that mate is in the index, even if that gave no hit.
+    """
+    sides = left.withColumn("l", F.lit(True)).join(right.withColumn("r", F.lit(True)), ["frag_id", "tid"], "full").join(matched.select("frag_id", F.col("left").alias("ml"), F.col("right").alias("mr")), "frag_id", "left")
+    frag = Window.partitionBy("frag_id")
+    l, r, quiet = F.col("l").isNotNull(), F.col("r").isNotNull(), lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    seen = sides.withColumn("any_l", F.max(l).over(frag)).withColumn("any_r", F.max(r).over(frag))
+    kept = (l & r) | (l & ~F.col("any_r") & quiet("mr")) | (r & ~F.col("any_l") & quiet("ml"))
+    return seen.where(kept).select("frag_id", "tid", F.when(l & r, PAIRED_STATUS).when(l, LEFT).otherwise(RIGHT).alias("kind"))
+
+
+def paired_hits(left: DataFrame, right: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Mates' hits (frag_id, tid, pos, fwd, read_len) and what fragments they make (frag_id, tid, kind) to hits.
+
+    Of several hits of a mate on one target the leftmost counts.
+    """
+    one = lambda df, names: df.groupBy("frag_id", "tid").agg(F.min(F.struct("pos", "fwd", "read_len")).alias("h")).select("frag_id", "tid", *[F.col(f"h.{c}").alias(n) for c, n in zip(("pos", "fwd", "read_len"), names, strict=True)])
+    own, mate = ("pos", "fwd", "read_len"), ("mate_pos", "mate_fwd", "mate_len")
+    both = kinds.join(one(left, ("lp", "lf", "ll")), ["frag_id", "tid"], "left").join(one(right, ("rp", "rf", "rl")), ["frag_id", "tid"], "left")
+    alone = F.col("kind") == RIGHT
+    first = [F.when(alone, F.col(r)).otherwise(F.col(x)).alias(n) for x, r, n in zip(("lp", "lf", "ll"), ("rp", "rf", "rl"), own, strict=True)]
+    paired = F.col("kind") == PAIRED_STATUS
+    second = [F.when(paired, F.col(r)).alias(n) for r, n in zip(("rp", "rf", "rl"), mate, strict=True)]
+    span = F.greatest(F.col("lp") + F.col("ll"), F.col("rp") + F.col("rl")) - F.least("lp", "rp")
+    order = F.when(alone, 1).otherwise(0) * F.lit(1 << 32) + F.col("tid")
+    return both.select("frag_id", order.alias("hit_ord"), "tid", *first, F.col("kind").alias("mate_status"), *second, F.when(paired, span).otherwise(0).alias("frag_len"))
+
+
+def single_hits(found: DataFrame) -> DataFrame:
+    """Hits of reads without mates (frag_id, tid, pos, fwd, read_len) as hits."""
+    none = F.lit(None).cast("int")
+    return found.select("frag_id", F.col("tid").cast("long").alias("hit_ord"), "tid", "pos", "fwd", "read_len", F.lit(SINGLE).alias("mate_status"), none.alias("mate_pos"), none.cast("boolean").alias("mate_fwd"), none.alias("mate_len"), F.lit(0).alias("frag_len"))
+
+
 def forward(hits: DataFrame) -> Column:
     return F.when(F.col("mate_status") == RIGHT, ~F.col("fwd")).otherwise(F.col("fwd"))
 
 
 def counters(hits: DataFrame, kept: DataFrame, observed: int | Column | None = None) -> DataFrame:
-    """One row: fragments observed and mapped, hits, forward and reverse hits, mapping rate."""
-    seen = hits.agg(F.countDistinct("frag_id").alias("observed"), F.count("*").alias("total_hits"))
+    """One row: fragments observed and mapped, hits, forward and reverse hits, mapping rate.
+
+    observed: the fragments' number where it is known; else fragments with a hit are counted.
+    """
+    seen = F.countDistinct("frag_id") if observed is None else F.lit(observed) if isinstance(observed, int) else observed
+    seen = hits.agg(seen.cast("long").alias("observed"), F.count("*").alias("total_hits"))
     used = kept.agg(F.countDistinct("frag_id").alias("mapped"), F.count_if(forward(kept)).alias("n_fwd"), F.count_if(~forward(kept)).alias("n_rc"))
     return seen.join(used, how="inner", on=F.lit(True)).withColumn("mapping_rate", F.col("mapped") / F.col("observed"))
 
 
+def bias_samples(hits: DataFrame, lengths: DataFrame, window: int = 6, quota: int = 1_000_000) -> DataFrame:
+    """frag_id, tid, p, fwd: of each fragment the first hit whose window of bases lies inside its target; the first `quota` by frag_id.
+
+    lengths: tid, length. p is where the fragment starts in its direction.
+    """
+    p = five_prime(F.col("pos"), F.col("fwd"), F.col("read_len"))
+    at = hits.join(lengths.select("tid", "length"), "tid").withColumn("p", p)
+    start = F.when(F.col("fwd"), F.col("p") - 2).otherwise(F.col("p") - 4)
+    fits = at.where((F.col("p") > 0) & (F.col("p") < F.col("length")) & (start >= 0) & (start + window < F.col("length")))
+    first = fits.groupBy("frag_id").agg(F.min(F.struct("hit_ord", "tid", "p", "fwd")).alias("h"))
+    return first.select("frag_id", "h.tid", "h.p", "h.fwd").orderBy("frag_id").limit(quota)
+
+
 def unique_pairs(hits: DataFrame, max_frag_len: int = 1000, quota: int = 10_000) -> DataFrame:
     """Fragments with one hit, a pair of a length below max_frag_len; the first `quota` by frag_id."""
     one = hits.groupBy("frag_id").agg(F.count("*").alias("n"), F.first("mate_status").alias("mate_status"), F.first("frag_len").alias("frag_len"))

@@ -1,28 +1,37 @@
 """Abundance by expectation-maximisation, plain or variational.
 
-Classes are in an array layout; the model is one number a target, at most MAX_TARGETS. Up to LOCAL_MEMBERS
-members of classes (collapsed, so far fewer than fragments) are fetched once and every step runs on them
-in place; beyond it classes stay distributed and persisted, the model travels with each step's tasks, and a step
-gives one partial sum a target and task and shuffles only those. Classes of one target are summed once.
+Classes are in an array layout. Up to MAX_TARGETS targets the model is one number a target in the driver: a Problem. Up to
+LOCAL_MEMBERS members of classes (collapsed, so far fewer than fragments) are then fetched once and every step runs on
+them in place; beyond it classes stay distributed and persisted, the model travels with each step's tasks, and a
+step gives one partial sum a target and task and shuffles only those. Beyond MAX_TARGETS the model is a table too, and a
+step joins it with the members: converged_frame(). Classes of one target are summed once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import kmers
+from ..shared import cut
+
 MIN_ALPHA, PRIOR, MIN_ITERATIONS, TOLERANCE, MAX_ITERATIONS, CHECK = 1e-8, 0.01, 50, 0.01, 10_000, 1e-2
+#: Steps before which effective lengths are worked out again, where a model of bias is given.
+RECOMPUTE_AT = (50, 500, 1000)
 #: Targets up to which the model is held in memory.
 MAX_TARGETS = 5_000_000
 #: Members of classes up to which steps run in the driver: about 50 MB.
 LOCAL_MEMBERS = 4_000_000
 
+#: From the targets' ids, their current abundances and lengths to new lengths.
+Recompute = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
 
 def shares(rate: np.ndarray, tids: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A step's sum for each target over classes of members tids, at[k] the first of class k, n their counts."""
@@ -50,19 +59,20 @@ def digamma(x: np.ndarray) -> np.ndarray:
 
 
 class Problem:
-    """Classes with weights, ready for steps. lengths: tid int, eff_length of every target, tid from 0 on without gaps."""
+    """Classes ready for steps. lengths: tid, eff_length of every target; alpha follows the targets in the order of tid."""
 
     def __init__(self, eq: DataFrame, lengths: DataFrame):
         self.n_targets = lengths.count()
         if self.n_targets > MAX_TARGETS:
-            raise ValueError(f"{self.n_targets} targets; the model is held for {MAX_TARGETS} at most")
-        self.lengths = np.ones(self.n_targets)
-        for row in lengths.select("tid", "eff_length").collect():
-            self.lengths[row.tid] = max(1.0, row.eff_length)
-        eq = eq.select("label", F.col("count").cast("double").alias("n"))
-        self.single, self.mapped = np.zeros(self.n_targets), 0.0
-        for row in eq.where(F.size("label") == 1).groupBy(F.col("label")[0].alias("tid")).agg(F.sum("n").alias("n")).collect():
-            self.single[row.tid] = row.n
+            raise ValueError(f"{self.n_targets} targets; a model of more than {MAX_TARGETS} is a table: converged_frame()")
+        table = lengths.select(F.col("tid").cast("long"), F.col("eff_length").cast("double")).toArrow()
+        order = np.argsort(np.asarray(table.column("tid")), kind="stable")
+        self.tids = np.asarray(table.column("tid"))[order]
+        self.lengths = np.maximum(1.0, np.asarray(table.column("eff_length"))[order])
+        eq = self._ranked(eq.select(F.col("label").cast("array<long>").alias("label"), F.col("count").cast("double").alias("n")))
+        self.single = np.zeros(self.n_targets)
+        ones = eq.where(F.size("label") == 1).groupBy(F.col("label")[0].alias("tid")).agg(F.sum("n").alias("n")).toArrow()
+        self.single[np.asarray(ones.column("tid"))] = np.asarray(ones.column("n"))
         self.eq = eq.where(F.size("label") > 1).persist(StorageLevel.MEMORY_AND_DISK)
         n, size = self.eq.agg(F.sum("n"), F.sum(F.size("label"))).first()
         self.mapped = self.single.sum() + (n or 0.0)
@@ -74,8 +84,22 @@ class Problem:
             self.local = (*(lists[0] if lists else (np.zeros(0, int), np.zeros(1, int))), np.asarray(got.column("n")))
             self.active[self.local[0]] = True
         else:
-            for row in self.eq.select(F.explode("label").alias("tid")).distinct().collect():
-                self.active[row.tid] = True
+            self.active[np.asarray(self.eq.select(F.explode("label").alias("tid")).distinct().toArrow().column("tid"))] = True
+
+    def _ranked(self, eq: DataFrame) -> DataFrame:
+        """Classes with the targets' ranks for their ids; a target that isn't in the table is an error."""
+        tids = eq.sparkSession.sparkContext.broadcast(self.tids)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat, at = _arrays(batch.column("label"))
+                rank = np.searchsorted(tids.value, flat)
+                if len(flat) and not (len(tids.value) and (tids.value[np.minimum(rank, len(tids.value) - 1)] == flat).all()):
+                    raise ValueError("a class has a target that has no length")
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rank, pa.int32()))
+                yield pa.RecordBatch.from_arrays([lists, batch.column("n")], names=["label", "n"])
+
+        return eq.mapInArrow(run, "label array<int>, n double")
 
     def close(self) -> None:
         self.eq.unpersist()
@@ -101,19 +125,28 @@ class Problem:
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"tid": pa.array(found, pa.int64()), "m": pa.array(total[found], pa.float64())})
 
-        for row in self.eq.mapInArrow(run, "tid long, m double").groupBy("tid").agg(F.sum("m").alias("m")).collect():
-            out[row.tid] += row.m
+        sums = self.eq.mapInArrow(run, "tid long, m double").groupBy("tid").agg(F.sum("m").alias("m")).toArrow()
+        out[np.asarray(sums.column("tid"))] += np.asarray(sums.column("m"))
         return out
 
-    def fixed(self, steps: int, variational: bool = False) -> np.ndarray:
+    def _before(self, done: int, alpha: np.ndarray, recompute: Recompute | None, at: tuple[int, ...]) -> None:
+        if recompute is not None and done in at:
+            self.lengths = np.maximum(1.0, recompute(self.tids, alpha, self.lengths))
+
+    def fixed(self, steps: int, variational: bool = False, recompute: Recompute | None = None, at: tuple[int, ...] = RECOMPUTE_AT) -> np.ndarray:
         alpha = self.start()
-        for _ in range(steps):
+        for done in range(steps):
+            self._before(done, alpha, recompute, at)
             alpha = self.step(alpha, variational)
         return alpha
 
-    def converged(self, variational: bool = False, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS, least: int = MIN_ITERATIONS) -> tuple[np.ndarray, int]:
+    def converged(
+        self, variational: bool = False, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS, least: int = MIN_ITERATIONS, recompute: Recompute | None = None, at: tuple[int, ...] = RECOMPUTE_AT
+    ) -> tuple[np.ndarray, int]:
+        """Abundances and steps. recompute gives new lengths before the steps in `at`, if steps go on until there."""
         alpha, done = self.start(), 0
         while done < most:
+            self._before(done, alpha, recompute, at)
             new = self.step(alpha, variational)
             done += 1
             change = max_change(alpha, new)
@@ -135,9 +168,24 @@ def truncated(alpha: np.ndarray, cutoff: float = MIN_ALPHA) -> np.ndarray:
     return out
 
 
-def abundances(spark, alpha: np.ndarray) -> DataFrame:
+def abundances(spark: SparkSession, alpha: np.ndarray, tids: np.ndarray | None = None) -> DataFrame:
     """tid int, num_reads double."""
-    return spark.createDataFrame([(k, float(a)) for k, a in enumerate(alpha)], "tid int, num_reads double")
+    ids = np.arange(len(alpha)) if tids is None else tids
+    return spark.createDataFrame(pa.table({"tid": pa.array(ids, pa.int32()), "num_reads": pa.array(alpha, pa.float64())}))
+
+
+def abundance(eq: DataFrame, lengths: DataFrame, variational: bool = False, steps: int | None = None, recompute: Recompute | None = None, at: tuple[int, ...] = RECOMPUTE_AT) -> DataFrame:
+    """tid, num_reads of every target of lengths (tid, eff_length): after `steps` steps, or converged."""
+    if lengths.count() > MAX_TARGETS:
+        if recompute is not None:
+            raise ValueError(f"lengths are worked out again for at most {MAX_TARGETS} targets")
+        return converged_frame(eq, lengths, variational, steps=steps)
+    problem = Problem(eq, lengths)
+    try:
+        alpha = problem.converged(variational, recompute=recompute, at=at)[0] if steps is None else problem.fixed(steps, variational, recompute, at)
+    finally:
+        problem.close()
+    return abundances(eq.sparkSession, alpha, problem.tids)
 
 
 def with_tpm(quant: DataFrame) -> DataFrame:
@@ -160,13 +208,44 @@ def validity(weighted: DataFrame, alpha: DataFrame) -> DataFrame:
 
 
 def em_frame(members: DataFrame, steps: int) -> DataFrame:
-    """EM as one lazy plan, for models too large for memory. members: label, tid, w, count. tid, alpha."""
+    """EM as one lazy plan. members: label, tid, w, count. tid, alpha."""
     base = members.groupBy("tid").agg(F.lit(1).alias("one"))
     total = members.select("label", "count").distinct().agg(F.sum("count").alias("t"))
     n = base.agg(F.count("*").alias("k"))
     alpha = base.join(F.broadcast(total), F.lit(True)).join(F.broadcast(n), F.lit(True)).select("tid", (F.col("t") / F.col("k")).alias("alpha"))
     for _ in range(steps):
-        part = members.join(alpha, "tid").withColumn("p", F.col("alpha") * F.col("w"))
-        part = part.withColumn("d", F.sum("p").over(Window.partitionBy("label")))
-        alpha = part.groupBy("tid").agg(F.sum(F.when(F.col("d") > 0, F.col("count") * F.col("p") / F.col("d")).otherwise(0.0)).alias("alpha"))
+        alpha = _frame_step(members, alpha)
     return alpha
+
+
+def _frame_step(members: DataFrame, rate: DataFrame) -> DataFrame:
+    """tid, alpha after a step from (tid, alpha) rates. Members stay where their classes are; classes of one target keep their count."""
+    part = members.join(rate, "tid").withColumn("p", F.col("alpha") * F.col("w"))
+    of = Window.partitionBy("label")
+    part = part.withColumn("d", F.sum("p").over(of)).withColumn("size", F.count("*").over(of))
+    share = F.when(F.col("size") == 1, F.col("count")).when(F.col("d") > 0, F.col("count") * F.col("p") / F.col("d")).otherwise(0.0)
+    return part.groupBy("tid").agg(F.sum(share).alias("alpha"))
+
+
+def converged_frame(eq: DataFrame, lengths: DataFrame, variational: bool = False, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS, least: int = MIN_ITERATIONS, steps: int | None = None) -> DataFrame:
+    """tid, num_reads as Problem gives them, for models of any size: the model is a table, written after each step. steps: that many, without a test."""
+    w = eq.select("label", "count", F.posexplode("label").alias("ord", "tid")).join(lengths.select("tid", (1 / F.greatest(F.col("eff_length"), F.lit(1.0))).alias("w")), "tid")
+    members = cut(w.select("label", F.col("tid"), "w", F.col("count").cast("double").alias("count")).repartition("label"))
+    mapped, prior = eq.agg(F.sum("count")).first()[0] or 0, PRIOR if variational else 0.0
+    used = members.select("tid").distinct()
+    every = lengths.select("tid")
+    alpha = cut(every.join(used.withColumn("alpha", F.lit(mapped / max(1, used.count()))), "tid", "left").select("tid", F.coalesce("alpha", F.lit(0.0)).alias("alpha")))
+    done = 0
+    while done < (most if steps is None else steps):
+        rate = alpha
+        if variational:
+            # digamma of the sum cancels in a class.
+            rate = alpha.select("tid", F.when(F.col("alpha") > 0, F.exp(kmers.digamma(F.col("alpha")))).otherwise(0.0).alias("alpha"))
+        new = every.join(_frame_step(members, rate), "tid", "left").select("tid", (F.coalesce("alpha", F.lit(0.0)) + prior).alias("alpha"))
+        before, alpha, done = alpha, cut(new), done + 1
+        if steps is None and done >= least and (relative_change(before, alpha).first()[0] or 0.0) <= tolerance:
+            break
+    if steps is not None:
+        return alpha.withColumnRenamed("alpha", "num_reads")
+    kept = F.when(F.col("alpha") <= MIN_ALPHA + prior, 0.0).otherwise(F.col("alpha"))
+    return alpha.select("tid", kept.alias("num_reads"))

@@ -243,23 +243,8 @@ def _em_sql(steps: int, variational: bool = False) -> str:
     return f"WITH {_MEMBERS}, " + ", ".join(ctes)
 
 
-def _problem(spark, sf):
-    """Targets' ids may start anywhere: they are ranked to 0 .. n - 1."""
-    ids = [r.tid for r in targets(spark, sf).select("tid").orderBy("tid").collect()]
-    low = ids[0] if ids else 0
-    if ids != list(range(low, low + len(ids))):
-        raise ValueError("target ids have gaps")
-    eq = _eq(spark, sf).select(F.transform("label", lambda t: t - low).alias("label"), "count")
-    return estimate.Problem(eq, _eff(spark, sf).withColumn("tid", F.col("tid") - low)), low
-
-
 def _abundance(spark, sf, variational: bool = False, steps: int | None = STEPS):
-    problem, low = _problem(spark, sf)
-    try:
-        alpha = problem.fixed(steps, variational) if steps else problem.converged(variational)[0]
-    finally:
-        problem.close()
-    return estimate.abundances(spark, alpha).withColumn("tid", F.col("tid") + low)
+    return estimate.abundance(_eq(spark, sf), _eff(spark, sf), variational, steps)
 
 
 @query("em_fixed10", f"{_em_sql(STEPS)} SELECT tid, round(alpha, 5) AS num_reads, round(1e6 * (alpha / eff_length) / (SELECT sum(x.alpha / y.eff_length) FROM a{STEPS} x JOIN eff y USING (tid)), 3) AS tpm FROM a{STEPS} JOIN eff USING (tid)")
@@ -422,8 +407,7 @@ def _(spark, sf):
 
 @query("kmer_hist", f"WITH {SEQUENCES}, k AS (SELECT unnest(list_transform(range(1, length(seq) - 4), lambda p: substr(seq, p, 6))) AS kmer FROM seqs WHERE length(seq) >= 6), h AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) SELECT {_CODE.format('kmer')} AS idx, n FROM h")
 def _(spark, sf):
-    k = sequences(spark, sf).select(F.explode(kmers.windows(F.col("seq"), 6)).alias("w")).groupBy("w.kmer").agg(F.count("*").alias("n"))
-    return k.select(kmers.encode(F.col("kmer")).alias("idx"), "n")
+    return bias.kmer_counts(sequences(spark, sf))
 
 
 _GCN = "(length({0}) - length(translate({0}, 'GC', '')))"
@@ -453,7 +437,9 @@ _SAMPLES = "smp AS (SELECT seq, start AS p, start % 200 = 10 AS fwd FROM pairs)"
 
 
 def _samples(spark, sf):
-    return _pairs(spark, sf).select("seq", F.col("start").alias("p"), (F.col("start") % 200 == 10).alias("fwd"))
+    """seq, at: a sequence's samples in one row."""
+    starts = F.sequence(F.lit(10), F.length("seq") - 1, F.lit(100))
+    return sequences(spark, sf).where("length(seq) > 10").select("seq", F.transform(starts, lambda p: F.struct(p.alias("p"), (p % 200 == 10).alias("fwd"))).alias("at"))
 
 
 _OBS = f"""{SEQUENCES}, {_PAIRS}, {_SAMPLES}, ow AS (SELECT CASE WHEN fwd THEN translate(reverse(substr(seq, p - 1, 6)), 'ACGT', 'TGCA') ELSE substr(seq, p - 3, 6) END AS kmer FROM smp WHERE CASE WHEN fwd THEN p >= 2 AND p + 4 < length(seq) ELSE p >= 4 AND p + 2 < length(seq) END),
@@ -462,7 +448,7 @@ _OBS = f"""{SEQUENCES}, {_PAIRS}, {_SAMPLES}, ow AS (SELECT CASE WHEN fwd THEN t
 
 @query("obs_bias_kmers", f"WITH {_OBS} SELECT idx, n FROM obs")
 def _(spark, sf):
-    return bias.observed_kmers(_samples(spark, sf))
+    return bias.observed_at(_samples(spark, sf))
 
 
 P_FWD = 0.625
@@ -500,17 +486,14 @@ def _(spark, sf):
  SELECT bt.tid, round(CASE WHEN cs.e > cs.u THEN cs.e ELSE bt.e END, 4) AS eff_length FROM bt LEFT JOIN cs USING (tid)""")
 def _(spark, sf):
     t, cdf = _bias_targets(spark, sf), _gauss_cdf(spark)
-    out = bias.corrected_by_sequence(t, cdf, bias.observed_kmers(_samples(spark, sf)), bias.expected_kmers(t, cdf, P_FWD), P_FWD)
+    out = bias.corrected_by_sequence(t, cdf, bias.observed_at(_samples(spark, sf)), bias.expected_kmers(t, cdf, P_FWD), P_FWD)
     return out.select("tid", F.round("eff_length", 4).alias("eff_length"))
 
 
-GC_STEP = 25
-
-
 @query("gc_bias_efflen")
 def _(spark, sf):
     t = _bias_targets(spark, sf)
-    fl, mass = bias.gc_steps([(r.len, r.cdf) for r in _gauss_cdf(spark).collect()], GC_STEP)
+    fl, mass = bias.gc_steps([(r.len, r.cdf) for r in _gauss_cdf(spark).collect()])
     observed, expected = np.zeros(bias.GC_BINS), np.zeros(bias.GC_BINS)
     for r in bias.observed_gc(_pairs(spark, sf)).collect():
         observed[r.bin] = r.n
@@ -524,7 +507,7 @@ MAP_K = 15
 
 @query("kmer_index", f"WITH {SEQUENCES}, i AS (SELECT tid, unnest(list_transform(range(0, length(seq) - {MAP_K - 1}), lambda p: substr(seq, p + 1, {MAP_K}))) AS kmer FROM seqs WHERE length(seq) >= {MAP_K}) SELECT tid, count(*) AS n, count(DISTINCT kmer) AS n_distinct FROM i GROUP BY tid")
 def _(spark, sf):
-    return mapping.index(sequences(spark, sf), MAP_K).groupBy("tid").agg(F.count("*").alias("n"), F.countDistinct("kmer").alias("n_distinct"))
+    return mapping.index(sequences(spark, sf), MAP_K).groupBy("tid").agg(F.count("*").alias("n"), F.countDistinct("code").alias("n_distinct"))
 
 
 @query("quasi_map_hits")
