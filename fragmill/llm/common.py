@@ -1,16 +1,19 @@
-"""What the corpus operators share: reading tables, shared storage, and memoised tokenising."""
+"""What the corpus operators share: reading tables, batches, joins with hot keys, and memoised tokenising."""
 
 from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Whole texts travel in batches, so a batch is kept small.
-BATCH_ROWS = 512
+from ..shared import cut, shared_dir, temporary, written  # noqa: F401 - the corpus operators' names for shared storage
+
+#: Rows and bytes of an Arrow batch. Whole texts travel in batches, so a batch's bytes are bounded too.
+BATCH_ROWS, BATCH_BYTES = 8192, 4 << 20
+#: Keys that have more than one in so many of a table's rows are few enough to be sent to every task.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,35 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of whole texts can hold in a Python worker."""
+    """Bounds what one Arrow batch can hold in a Python worker: many small rows, or a few whole texts or blocks."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    set_dir = spark.sparkContext.getCheckpointDir()
-    if set_dir is None:
-        set_dir = tempfile.mkdtemp(prefix="fragmill-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-        set_dir = spark.sparkContext.getCheckpointDir()
-    return set_dir.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder, so that a lost executor costs a read and not the whole lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def join_names(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows joined with names, one row a key, where a key may have a large share of the rows.
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: for what is read more than once and not small."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Keys with more than one in HOT of the rows are fewer than HOT: their names go to every task, their rows stay.
+    """
+    n = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") * HOT > n).select(key)
+    hot = written(names.join(F.broadcast(hot), key, "left_semi"), "hot")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(names, key))
 
 
 def tokenizer_path(name: str) -> str:

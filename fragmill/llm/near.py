@@ -1,10 +1,13 @@
-"""Documents alike in their shingles: exact Jaccard similarity, with no pair missed.
+"""Documents alike in their shingles: keys that miss no pair, SimHash prints compared bit-sliced, exact Jaccard similarity at the end.
 
-Texts become nodes, equal ones the same node. Shingles of a text stand in one order for all texts, rare
-ones first; two sets of the wanted similarity share a shingle among the first of each (prefix filter).
-Candidates of a shingle are compared by their whole sets. A shingle with many texts first gives a few
-pairs a text; what those don't connect is compared pair by pair afterwards. Shingles and texts are
-known by 64-bit hashes; nothing else is estimated.
+Texts become nodes, equal ones the same node. Shingles of a text stand in one order for all texts, rare ones first; two
+sets of the wanted similarity share a shingle among the first of each (prefix filter). In a group of texts that share one,
+128-bit SimHash prints of the whole sets stand as bit planes and are compared many at once; pairs beyond the radius, such
+as texts that have only a passage in common, go no further. What is left is compared by whole sets.
+
+First each text meets one print near its own in a group; what these links don't connect is compared pair by pair
+afterwards. The radius is over five standard deviations beyond what pairs of similarity 0.8 differ by, so that about
+one such pair in thirty million is lost there. Shingles and texts are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .bits import leader_links, majority, mask, planes_of, probe, set_rows, short_links
+from .common import join_names, small_batches, written
 from .components import components
 
 #: Texts looked at for the order of shingles, and how many must hold a shingle for it to count as common.
 SAMPLE, COMMON = 10_000, 8
-#: Texts of a shingle up to which all pairs are candidates at once.
+#: Texts of a shingle up to which all pairs are found at once.
 SMALL = 16
+#: Differing bits, of 128, up to which a text's first link is sought and a pair is compared at all. Pairs of
+#: similarity 0.8 differ by 19 bits on average (24 in very short texts), unlike texts by 64.
+TIGHT, RADIUS = 28, 48
 #: Texts of a shingle, by the sample, above which they are dealt to several tasks.
 SPREAD = 2048
 #: Rows of a shingle above which the second round cuts it into pairs of blocks.
@@ -61,6 +68,12 @@ def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """128 bits of a set of hashes: two words of the SimHash over two mixes of each."""
+    with np.errstate(over="ignore"):
+        return majority(np.stack([_mix(h + np.uint64(0x5851F42D4C957F2D)), _mix(h ^ np.uint64(0x14057B7EF767814F))], axis=1))
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
     """doc_id long, node long, text binary. A null text is an empty one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -102,12 +115,12 @@ def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray, int], p:
     return h[:keep], seen[:keep]
 
 
-_TOKENS = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("sl", pa.int64()), ("token", pa.int64()), ("kind", pa.int8())])
-_FOUND = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64())])
+_TOKENS = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("sl", pa.int64()), ("token", pa.int64()), ("kind", pa.int8()), ("s0", pa.int64()), ("s1", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
 
 
 def _tokens(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray, int], k: int, p: int, q: int) -> DataFrame:
-    """A row a text and first shingle. sl: size of the set << 32 | shingles from this one on in the order.
+    """A row a text and first shingle. sl: size of the set << 32 | shingles from this one on in the order. s0, s1: the print.
 
     kind 0: g is the shingle. Otherwise the shingle is dealt to several g; 1: gives pairs in the first round, 2: doesn't.
     """
@@ -130,11 +143,12 @@ def _tokens(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray, int], k: int
                     g = np.where(dealt, _mix(first + np.uint64(node % (1 << 64)) % np.maximum(ways, 1) * np.uint64(0x9E3779B97F4A7C15)), first)
                 kind = np.where(dealt, np.where(np.cumsum(dealt) <= FIRST, 1, 2), 0).astype(np.int8)
                 sl = (len(h) << 32) + len(h) - np.arange(len(first), dtype=np.int64)
-                parts.append((g.view(np.int64), np.full(len(first), node, np.int64), sl, np.where(dealt, first, 0).astype(np.uint64).view(np.int64), kind))
+                s0, s1 = (np.full(len(first), x, np.int64) for x in sketch(h).view(np.int64))
+                parts.append((g.view(np.int64), np.full(len(first), node, np.int64), sl, np.where(dealt, first, 0).astype(np.uint64).view(np.int64), kind, s0, s1))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], schema=_TOKENS)
 
-    return nodes.select("node", "text").mapInArrow(run, "g long, node long, sl long, token long, kind byte")
+    return nodes.select("node", "text").mapInArrow(run, "g long, node long, sl long, token long, kind byte, s0 long, s1 long")
 
 
 def may_link(sl_a: np.ndarray, sl_b: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -148,50 +162,63 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
-def _shifted(g: np.ndarray, node: np.ndarray, sl: np.ndarray, shifts: int, p: int, q: int) -> list[np.ndarray]:
-    out = []
-    for s in range(1, shifts + 1):
-        at = np.flatnonzero(g[s:] == g[:-s])
-        if not len(at):
-            break
-        at = at[may_link(sl[at], sl[at + s], p, q)]
-        out.append(_pairs(node[at], node[at + s]))
-    return out
+def _rows_of(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of one kind; columns that aren't given are zero."""
+    n = len(columns[0])
+    rest = [np.zeros(n, np.int64)] * (5 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *(pa.array(c) for c in (*columns, *rest))], schema=_FOUND)
 
 
-def first_round(g, node, sl, token, kind, p: int, q: int) -> Iterator[pa.RecordBatch]:
-    """Whole groups sorted by g and node: pairs (0, a, b, 0), and rows of large groups (1, shingle, node, sl)."""
+def first_round(g, node, sl, token, kind, p: int, q: int, prints: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Whole groups sorted by g and node: a first link of a text (0, a, b), other pairs of small groups (2, a, b), rows of large groups (1, shingle, node, sl, print)."""
+    prints = np.zeros((len(g), 2), np.uint64) if prints is None else prints
     fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (node[1:] != node[:-1])])
-    g, node, sl, token, kind = g[fresh], node[fresh], sl[fresh], token[fresh], kind[fresh]
+    g, node, sl, token, kind, prints = g[fresh], node[fresh], sl[fresh], token[fresh], kind[fresh], prints[fresh]
     edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
     run = np.repeat(np.diff(edges), np.diff(edges))
-    small = (kind == 0) & (run <= SMALL) & (run > 1)
-    out = _shifted(g[small], node[small], sl[small], SMALL - 1, p, q)
+    links, others = [], []
+    small = np.flatnonzero((kind == 0) & (run <= SMALL) & (run > 1))
+    if len(small):
+        a, b = (small[x] for x in short_links(g[small], prints[small], RADIUS, SMALL))
+        at = may_link(sl[a], sl[b], p, q)
+        a, b = a[at], b[at]
+        near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= TIGHT
+        least = np.full(len(g), len(g))
+        np.minimum.at(least, b[near], a[near])  # rows of a group are in the order of their nodes
+        first = near & (least[b] == a)
+        links.append(_pairs(node[a[first]], node[b[first]]))
+        others.append(_pairs(node[a[~first]], node[b[~first]]))
     large = (kind > 0) | (run > SMALL)
-    chained = large & (kind < 2)
-    if chained.any():
-        cg, cn, cs = g[chained], node[chained], sl[chained]
-        order = np.lexsort((_mix(cn.view(np.uint64) ^ cg.view(np.uint64)), cg))
-        out += _shifted(cg[order], cn[order], cs[order], 2, p, q)
-    if out:
-        both = np.unique(np.concatenate(out), axis=0)
-        n = len(both)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.zeros(n, np.int64))], schema=_FOUND)
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if large[lo] and kind[lo] < 2:
+            rows = np.arange(lo, hi)
+            rows = rows[kind[rows] < 2]
+            a, b = leader_links(prints[rows], TIGHT)
+            a, b = rows[a], rows[b]
+            at = may_link(sl[a], sl[b], p, q)
+            links.append(_pairs(node[a[at]], node[b[at]]))
+    links = np.unique(np.concatenate(links), axis=0) if links else np.zeros((0, 2), np.int64)
+    yield _rows_of(0, links[:, 0], links[:, 1])
     if large.any():
         name = np.where(kind > 0, token, g)[large]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(name), np.int8)), pa.array(name), pa.array(node[large]), pa.array(sl[large])], schema=_FOUND)
+        yield _rows_of(1, name, node[large], sl[large], *prints[large].view(np.int64).T)
+    if others:
+        others = np.unique(np.concatenate(others), axis=0)
+        yield _rows_of(2, others[:, 0], others[:, 1])
 
 
-def second_round(node: np.ndarray, sl: np.ndarray, label: np.ndarray, p: int, q: int) -> Iterator[np.ndarray]:
-    """One group's pairs of different labels."""
+def second_round(node: np.ndarray, sl: np.ndarray, label: np.ndarray, p: int, q: int, prints: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """One group's pairs of different labels, of prints within the radius."""
     names, which = np.unique(label, return_inverse=True)
     most = int(np.bincount(which).argmax())
+    planes = None if prints is None else planes_of(prints)
     held, n = [], 0
     for r in np.flatnonzero(which != most):
         # Of two rows outside of the largest label the one of the lesser node looks at the other.
         other = (which == most) | ((which != which[r]) & (node > node[r]))
         other &= may_link(sl, sl[r], p, q)
-        held.append(_pairs(node[other], np.full(int(other.sum()), node[r])))
+        rows = np.flatnonzero(other) if planes is None else set_rows(probe(planes, int(r), RADIUS, mask(other)))
+        held.append(_pairs(node[rows], np.full(len(rows), node[r])))
         n += len(held[-1])
         if n > 1 << 18:
             yield np.concatenate(held)
@@ -222,39 +249,13 @@ def counts(h: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
 
 
-def _counts(nodes: DataFrame, k: int) -> DataFrame:
-    """node long, size int, counts binary; a row a text and task."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for batch in batches:
-            found = []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if node not in done:
-                    done.add(node)
-                    h = shingles(text, k)
-                    found.append((node, len(h), counts(h).tobytes()))
-            node, size, held = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(held, pa.binary())], names=["node", "size", "counts"])
-
-    made = nodes.select("node", "text").mapInArrow(run, "node long, size int, counts binary")
-    return written(made.distinct(), "shingle-counts")
-
-
-def _hopeful(pairs: DataFrame, held: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs without those whose counts differ by more than the similarity allows: no pair of it is lost."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in ("x", "y"))
-            size = np.asarray(batch.column("n")).astype(np.int64)
-            keep = np.abs(x - y).sum(axis=1) * (p + q) <= (q - p) * size
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    joined = pairs.join(held.toDF("a", "m", "x"), "a").join(held.toDF("b", "n", "y"), "b")
-    return written(joined.select("a", "b", (F.col("m") + F.col("n")).alias("n"), "x", "y").mapInArrow(run, "a long, b long"), "near-hopeful")
+def alike(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
+    """Whether two sorted sets have the similarity p/q. Their counts can rule it out without a merge."""
+    both = len(x) + len(y)
+    if int(np.abs(counts(x).astype(np.int64) - counts(y)).sum()) * (p + q) > (q - p) * both:
+        return False
+    merged = np.sort(np.concatenate([x, y]))
+    return int((merged[1:] == merged[:-1]).sum()) * (p + q) >= p * both
 
 
 def _released(spark: SparkSession) -> None:
@@ -263,9 +264,9 @@ def _released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, held: DataFrame, k: int, p: int, q: int) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """Of pairs a, b those whose sets have the similarity."""
-    pairs = _hopeful(pairs, held, p, q)
+    pairs = written(pairs, "near-pairs")
     _released(pairs.sparkSession)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = nodes.groupBy("node").agg(F.first("text").alias("text")).join(ends, "node", "left_semi")
@@ -277,11 +278,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, held: DataFrame, k: int, p: int,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                keep.append(int((both[1:] == both[:-1]).sum()) * (p + q) >= p * (len(x) + len(y)))
+            sets = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("x", "y"))
+            keep = [alike(x, y, p, q) for x, y in zip(*sets, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     whole = written(texts.mapInArrow(sets, "node long, set binary"), "shingle-sets")
@@ -293,49 +291,54 @@ def _linked(pairs: DataFrame, nodes: DataFrame, held: DataFrame, k: int, p: int,
 
 def linked(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """node long, component long of texts that are alike in their k-word shingles, directly or by others between."""
+    small_batches(docs.sparkSession)
     p, q = _need(similarity)
     nodes = _nodes(docs)
     tokens = _tokens(nodes, _common(nodes, k), k, p, q)
+    both = lambda columns: np.stack(columns, axis=1).view(np.uint64)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, node, sl, token, kind in _by_group(batches):
-            yield from first_round(g, node, sl, token, kind, p, q)
+        for g, node, sl, token, kind, s0, s1 in _by_group(batches):
+            yield from first_round(g, node, sl, token, kind, p, q, both((s0, s1)))
 
-    found = written(tokens.repartition("g").sortWithinPartitions("g", "node").mapInArrow(first, "kind byte, x long, y long, z long"), "near-found")
+    found = written(tokens.repartition("g").sortWithinPartitions("g", "node").mapInArrow(first, "kind byte, x long, y long, z long, s0 long, s1 long"), "near-found")
     del tokens
     _released(docs.sparkSession)
-    held = _counts(nodes, k)
-    pairs = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = _linked(pairs, nodes, held, k, p, q)
+    pairs = lambda kind: found.where(f"kind = {kind}").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    links = _linked(pairs(0), nodes, k, p, q)
     _released(docs.sparkSession)
-    groups = components(links)
-    large = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"), F.col("z").alias("sl"))
-    large = large.join(groups, "node", "left").select("token", "node", "sl", F.coalesce("component", "node").alias("label"))
+    groups = written(components(links), "near-groups")
+    label = lambda df, node, name: df.join(groups.toDF(node, name), node, "left").withColumn(name, F.coalesce(name, node))
+    large = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"), F.col("z").alias("sl"), "s0", "s1")
+    large = label(large, "node", "label")
     # Texts of one label have nothing left to find.
     open_ = large.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    left = written(large.join(open_.select("token", "rows"), "token"), "near-left")
-    if left.isEmpty():
-        return groups
 
     def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, node, sl, label in _by_group(batches):
+        for g, node, sl, name, s0, s1 in _by_group(batches):
             edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
             for lo, hi in zip(edges, edges[1:], strict=False):
-                for both in second_round(node[lo:hi], sl[lo:hi], label[lo:hi], p, q):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                for pair in second_round(node[lo:hi], sl[lo:hi], name[lo:hi], p, q, both((s0[lo:hi], s1[lo:hi]))):
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     n_blocks = F.ceil(F.col("rows") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
-    rows = left.withColumn("p", F.explode(blocks)).select(F.xxhash64("token", "p.i", "p.j").alias("g"), "node", "sl", "label")
-    more = rows.repartition("g").sortWithinPartitions("g").mapInArrow(second, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    return components(links.union(_linked(more, nodes, held, k, p, q)))
+    rows = large.join(open_.select("token", "rows"), "token").withColumn("p", F.explode(blocks)).select(F.xxhash64("token", "p.i", "p.j").alias("g"), "node", "sl", "label", "s0", "s1")
+    more = rows.repartition("g").sortWithinPartitions("g").mapInArrow(second, "a long, b long")
+    few = label(label(pairs(2), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
+    more = written(more.union(few).distinct().join(pairs(0), ["a", "b"], "left_anti"), "near-more")
+    if more.isEmpty():
+        return groups
+    return components(links.union(_linked(more, nodes, k, p, q)))
 
 
 def _rows(docs: DataFrame, **options) -> DataFrame:
     """doc_id long, node long, component long of every row."""
-    named = _nodes(docs).select("doc_id", "node")
-    return named.join(linked(docs, **options), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    named = written(_nodes(docs).select("doc_id", "node"), "near-nodes")
+    groups = linked(docs, **options).select(F.col("node").alias("_linked"), "component")
+    every = named.select("node").distinct().join(groups, F.col("node") == F.col("_linked"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    return join_names(named, written(every, "near-names"), "node")
 
 
 def near_groups(docs: DataFrame, **options) -> DataFrame:
