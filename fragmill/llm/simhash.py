@@ -11,15 +11,16 @@ into blocks, and each pair of blocks is a group.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, written
+from .bits import majority, mask, planes_of, probe, set_rows, short_links
+from .common import cut, join_names, table, written
 from .components import components
 from .near import deduplicated, near_groups, words  # noqa: F401 - the near-duplicate stage's names are kept here
 
@@ -31,17 +32,6 @@ SHORT = 24
 # ---- fingerprints -------------------------------------------------------------------------------
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """rows by words of hashes to one row: bits that more than half of the rows have set."""
-    if not len(hashes):
-        return np.zeros(hashes.shape[1], np.uint64)
-    total = np.zeros(64 * hashes.shape[1], np.int64)
-    for k in range(0, len(hashes), 4096):
-        part = np.ascontiguousarray(hashes[k : k + 4096])
-        total += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
-
-
 def shingle_print(text: bytes | None, k: int = 4, seed: int = 42) -> int:
     """64 bits from the XXH64 of every k-word shingle, repeats included; no words: 0."""
     import xxhash
@@ -64,64 +54,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
-# ---- bit-sliced comparison ----------------------------------------------------------------------
-
-
-def planes_of(prints: np.ndarray) -> np.ndarray:
-    """rows by 64-bit words to bit planes by words of 64 rows; missing rows are zero."""
-    n = -(-len(prints) // 64) * 64
-    bits = np.zeros((n, prints.shape[1] * 64), np.uint8)
-    bits[: len(prints)] = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
-
-
-def _add(a, b, c):
-    half = a ^ b
-    return half ^ c, (a & b) | (half & c)
-
-
-def within(diff: Callable[[int, np.ndarray], np.ndarray], n_planes: int, radius: int, valid: np.ndarray) -> np.ndarray:
-    """Of the rows set in valid, those with at most `radius` of n_planes set in diff.
-
-    diff(k, at): eight planes of differing bits from plane k on, at the words `at`. Counters are bit
-    planes themselves, fed by carry-save adders; words whose rows all exceed the radius are dropped.
-    """
-    out = np.zeros_like(valid)
-    at = np.flatnonzero(valid)
-    live = valid[at]
-    levels = max(4, n_planes.bit_length())
-    counts = [np.zeros(len(at), np.uint64) for _ in range(levels)]
-    for k in range(0, n_planes, 8):
-        if not len(at):
-            return out
-        p = diff(k, at)
-        one, a2 = _add(counts[0], p[0], p[1])
-        one, b2 = _add(one, p[2], p[3])
-        two, a4 = _add(counts[1], a2, b2)
-        one, a2 = _add(one, p[4], p[5])
-        one, b2 = _add(one, p[6], p[7])
-        two, b4 = _add(two, a2, b2)
-        four, carry = _add(counts[2], a4, b4)
-        counts[0], counts[1], counts[2] = one, two, four
-        for level in range(3, levels):
-            counts[level], carry = counts[level] ^ carry, counts[level] & carry
-        beyond, equal = np.zeros(len(at), np.uint64), np.full(len(at), ~np.uint64(0))
-        for level in range(levels - 1, -1, -1):
-            if radius >> level & 1:
-                equal = equal & counts[level]
-            else:
-                beyond |= equal & counts[level]
-                equal = equal & ~counts[level]
-        live = live & ~beyond
-        keep = live != 0
-        if keep.sum() < 0.75 * len(at) or not keep.any():
-            at, live, counts = at[keep], live[keep], [c[keep] for c in counts]
-    out[at] = live
-    return out
-
-
-def _set_rows(mask: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
+# ---- links of a group -----------------------------------------------------------------------------
 
 
 class _Sets:
@@ -146,11 +79,8 @@ def run_links(planes: np.ndarray, n: int, radius: int) -> np.ndarray:
     A row is a probe against all others at once. Rows need no further probe once those that weren't
     probes are all in one set, since only links between sets could change anything.
     """
-    sets, n_planes, n_words = _Sets(n), len(planes), planes.shape[1]
-    labels, probed = np.arange(n), np.zeros(n, bool)
-    everyone = np.full(n_words, ~np.uint64(0))
-    if n % 64:
-        everyone[-1] = (np.uint64(1) << np.uint64(n % 64)) - np.uint64(1)
+    sets = _Sets(n)
+    labels, probed, everyone = np.arange(n), np.zeros(n, bool), mask(np.ones(n, bool))
     while True:
         waiting = np.flatnonzero(~probed)
         if len(waiting) < 2:
@@ -160,9 +90,7 @@ def run_links(planes: np.ndarray, n: int, radius: int) -> np.ndarray:
         if sizes[largest] == len(waiting):
             break
         first = int(waiting[0]) if sizes[largest] == 1 else int(waiting[labels[waiting] != largest][0])
-        own = (planes[:, first >> 6] >> np.uint64(first & 63) & np.uint64(1)).astype(bool)
-        flip = np.where(own, ~np.uint64(0), np.uint64(0))[:, None]
-        got = _set_rows(within(lambda k, at: planes[k : k + 8, at] ^ flip[k : k + 8], n_planes, radius, everyone))  # noqa: B023
+        got = set_rows(probe(planes, first, radius, everyone))
         probed[first] = True
         if len(got) > 1:
             for x in np.unique(labels[got]).tolist():
@@ -176,34 +104,6 @@ def _relabel(labels: np.ndarray, sets: _Sets) -> np.ndarray:
     return np.array([sets.root(int(x)) for x in names])[where]
 
 
-def short_links(keys: np.ndarray, prints: np.ndarray, radius: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked rows of equal key, for sorted keys with runs of at most `longest`: all runs at once, shift by shift."""
-    n = len(keys)
-    planes = planes_of(prints)
-    n_words = planes.shape[1]
-    padded = np.concatenate([planes, np.zeros((len(planes), 1 + longest // 64 + 1), np.uint64)], axis=1)
-    found_a, found_b = [], []
-    for s in range(1, longest):
-        same = np.zeros(n_words * 64, bool)
-        same[: n - s] = keys[s:] == keys[:-s]
-        if not same.any():
-            break
-        valid = np.packbits(same, bitorder="little").view(np.uint64)
-        a, b = divmod(s, 64)
-
-        def diff(k: int, at: np.ndarray, a: int = a, b: int = b) -> np.ndarray:
-            shifted = padded[k : k + 8, at + a]
-            if b:
-                shifted = shifted >> np.uint64(b) | padded[k : k + 8, at + a + 1] << np.uint64(64 - b)
-            return planes[k : k + 8, at] ^ shifted
-
-        rows = _set_rows(within(diff, len(planes), radius, valid))
-        found_a.append(rows)
-        found_b.append(rows + s)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
-
-
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -229,8 +129,8 @@ def group_links(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, radius:
         yield pa.RecordBatch.from_arrays([pa.array(a[differ]), pa.array(b[differ])], schema=_LINKS)
 
 
-def links(keyed: DataFrame, prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """keyed: node long, t int, key long; prints: node long, print binary. a long, b long of linked nodes."""
+def links(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """keyed: node long (a print), t int, key long. a long, b long of linked nodes."""
     many = keyed.groupBy("t", "key").agg(F.count("*").alias("rows")).where("rows > 1")
     grouped = keyed.join(many, ["t", "key"])
     n_blocks = F.ceil(F.col("rows") / block).cast("int")
@@ -238,7 +138,6 @@ def links(keyed: DataFrame, prints: DataFrame, radius: int, block: int = BLOCK)
     pair = F.when(F.col("rows") > block, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j"))))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     rows = grouped.withColumn("p", F.explode(F.coalesce(pair, whole))).select(F.xxhash64("t", "key", "p.i", "p.j").alias("g"), "node")
-    rows = rows.join(prints, "node").select("g", "node", "print")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, fps = [], [], []
@@ -246,10 +145,9 @@ def links(keyed: DataFrame, prints: DataFrame, radius: int, block: int = BLOCK)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = b"".join(batch.column("print").to_pylist())
             keys.append(np.asarray(batch.column("g")))
             nodes.append(np.asarray(batch.column("node")))
-            fps.append(np.frombuffer(data, np.uint64).reshape(batch.num_rows, -1))
+            fps.append(nodes[-1].view(np.uint64)[:, None])
             held += batch.num_rows
             if held >= 32768 and keys[-1][-1] != keys[0][0]:
                 k, v, p = np.concatenate(keys), np.concatenate(nodes), np.concatenate(fps)
@@ -287,8 +185,8 @@ def clusters(docs: DataFrame, k: int = 4, radius: int = 4, block: int = BLOCK) -
 
     Prints link at `radius` or fewer differing bits; component_id is the least doc_id reachable, the
     row's own included. Cases: null and empty texts and white space alone have print zero, linked like any
-    other. Repeated rows stay, each with its component. A null doc_id gets a row with its print and the
-    component of the other rows' ids (null if there are none). An empty table gives no rows.
+    other. Repeated rows stay, each with its component. A row with a null doc_id links like any other and
+    gets a row; a component in which no row has a doc_id has a null name. An empty table gives no rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,21 +195,17 @@ def clusters(docs: DataFrame, k: int = 4, radius: int = 4, block: int = BLOCK) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     prints = written(_texts(docs).mapInArrow(run, "doc_id long, fp long"), "simhash")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where(F.col("node").isNotNull()))
+    # A node is a print, whoever has it; documents meet again only for their component's name.
+    nodes = cut(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")))
     masks = pigeonhole(nodes.count(), radius)
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks)])
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("node").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks)])
     keyed = nodes.select("node", F.explode(keys).alias("k")).select("node", "k.t", "k.key")
-    # A long's bytes, least first, as the planes expect them.
-    as_bytes = nodes.select("node", _bytes("fp").alias("print"))
-    found = components(links(keyed, as_bytes, radius, block)).join(nodes, "node").select("fp", "component")
-    plain = nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(plain, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _bytes(column: str) -> Column:
-    """A long as 8 bytes, least first."""
-    digits = F.lpad(F.hex(column), 16, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
+    found = components(links(keyed, radius, block))
+    named = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    plain = written(named.join(names, "component").select(F.col("node").alias("fp"), "component_id"), "simhash-names")
+    whole = join_names(prints, plain, "fp")
+    return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_simhash_near_dedup(spark, sf_dir):
