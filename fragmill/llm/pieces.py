@@ -35,9 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import table, tokenizer_path, written
+from .common import small_batches, table, tokenizer_path, written
 
 _SPACE = "▁"
 #: Classes of characters as ranges, so that all libraries agree on them; what is in none is a class too.
@@ -46,6 +46,8 @@ CLASSES = ("A-Za-zÀ-ÖØ-öø-ÿ", "0-9", " ", r"\x00-\x1F!-/:-@\[-`{-\x7F")
 MEMORY, HELD_LENGTH, SAMPLE = 400_000, 48, 1 << 28
 #: Distinct units that one task makes lattices of, and units of a document table's task that are counted at once.
 TASK_UNITS, COUNTED = 40_000, 1 << 18
+#: Words that a worker remembers.
+WORDS = 500_000
 #: Characters of a unit up to which the fold's state is one number: a bit a place, the end included.
 SHORT = 61
 
@@ -139,11 +141,55 @@ def unit_pattern(pieces: Iterable[str]) -> str:
     return (f"(?:{on})*+" if on else "") + f"(?:{'|'.join(run.values())})"
 
 
+class Splitter:
+    """Texts to units, and to what is remembered of their words.
+
+    Where a cut lies before every space, a text without double spaces is its words, each with a space in front; what is
+    wanted of a word's units is then worked out once a word. At most WORDS words are remembered at a time.
+    """
+
+    def __init__(self, pieces: Iterable[str]):
+        after = _follows(pieces)
+        space = next(k for k, c in enumerate(CLASSES) if c == " ")
+        self.units = re.compile(unit_pattern(pieces), re.DOTALL).findall
+        self.by_word = not any(space in b for a, b in after.items() if a != space)
+
+    def words(self, text: str | None) -> tuple[bool, list[str]]:
+        """Whether the parts are words, and they; else one part, the text with the space that every text is given in front."""
+        if not text:
+            return False, []
+        if self.by_word and text[0] != " " and "  " not in text:
+            return True, text.split(" ")
+        return False, [" " + text]
+
+    def remembered(self, what: Callable[[list[str]], object]) -> Callable[[str | None], list]:
+        """A function from a text to what(units) of each of its parts, in their order."""
+        held: dict[str, object] = {}
+        units = self.units
+
+        def each(text: str | None) -> list:
+            known, parts = self.words(text)
+            if not known:
+                return [what(units(p)) for p in parts]
+            out = list(map(held.get, parts))
+            if None in out:
+                for k, x in enumerate(out):
+                    if x is None:
+                        word = parts[k]
+                        if (x := held.get(word)) is None:
+                            if len(held) >= WORDS:
+                                held.clear()
+                            x = held[word] = what(units(" " + word))
+                        out[k] = x
+            return out
+
+        return each
+
+
 @lru_cache(maxsize=4)
-def splitter(pattern: str) -> Callable[[str | None], list[str]]:
-    """A text's units, with the space that every text is given in front; none of a null or empty text."""
-    found = re.compile(pattern, re.DOTALL).findall
-    return lambda text: found(" " + text) if text else []
+def splitter(model: str) -> Splitter:
+    """The worker process's splitter of a model."""
+    return Splitter([p for p, _, _, _ in vocabulary(model) if p])
 
 
 # ---- lattice and folds --------------------------------------------------------------------------
@@ -257,20 +303,34 @@ def encoded_units(distinct: DataFrame, pieces: DataFrame, unigram: bool = False)
 # ---- over documents -----------------------------------------------------------------------------
 
 
-def _frequent(docs: DataFrame, pattern: str) -> DataFrame:
+def _frequent(docs: DataFrame, model: str) -> DataFrame:
     """unit: MEMORY units at most, the most frequent ones of a sample of SAMPLE characters."""
     sizes = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
     share = min(1.0, SAMPLE / max(1, sizes[1] or 0))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held = splitter(pattern), Counter()
+        split, words, held = splitter(model), Counter(), Counter()
+
+        def settled() -> None:
+            for word, n in words.items():
+                for unit in split.units(" " + word):
+                    held[unit] += n
+            words.clear()
+
         out = lambda: pa.RecordBatch.from_pydict({"unit": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                held.update(split(text))
+                known, parts = split.words(text)
+                if known:
+                    words.update(parts)
+                else:
+                    held.update(u for p in parts for u in split.units(p))
+                if len(words) > COUNTED:
+                    settled()
                 if len(held) > COUNTED:
                     yield out()
                     held.clear()
+        settled()
         yield out()
 
     some = docs.select("text") if share == 1 else docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -292,59 +352,105 @@ def _dealt(units: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str, unigram: bool = False, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """row, the columns to keep, ids array<int> of every document; row numbers the rows.
+    """row, the columns to keep, ids array<int> of every document; row numbers the rows."""
+
+    def lists(kept: list[pa.Array], ends: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+        return [*kept, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, F.col("text").cast("string").alias("_text"))
+    return _encoded(rows, model, unigram, lists, [*rows.schema.fields[:-1], StructField("ids", ArrayType(IntegerType()))])
+
+
+def _encoded(rows: DataFrame, model: str, unigram: bool, make: Callable[[list[pa.Array], np.ndarray, np.ndarray], list[pa.Array]], fields: list[StructField]) -> DataFrame:
+    """make(other columns, ends, ids) of batches of rows, whose last column is the text; row k's ids are ids[ends[k]:ends[k + 1]].
 
     Texts are read twice and split in place. The first time, units that aren't held give their places in the text,
     which meets their ids by an equi-join; a text is known by 16 bytes of its hash, so that copies ask once. The
     second time a document's ids, with a mark for each unit that isn't held, meet those ids.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
+    small_batches(spark)
     if not unigram and not orderly(model):
         raise ValueError("a piece of this vocabulary is made of pieces with worse scores")
     pieces = piece_table(spark, model)
-    pattern = unit_pattern([p for p, _, _, _ in vocabulary(model) if p])
-    hole = len(vocabulary(model)) + 1024
+    hole = max(k for _, k, _, _ in vocabulary(model)) + 1
     code = "<u2" if hole < 1 << 16 else "<u4"
-    plain = docs.select(F.col("text").cast("string").alias("text"))
-    top = encoded_units(_dealt(_frequent(plain, pattern)), pieces, unigram).toArrow()
+    plain = rows.select(F.col(rows.columns[-1]).alias("text"))
+    top = encoded_units(_dealt(_frequent(plain, model)), pieces, unigram).toArrow()
     memory = spark.sparkContext.broadcast({u: np.array(i, code).tobytes() for u, i in zip(top.column("unit").to_pylist(), top.column("ids").to_pylist(), strict=True)})
 
     def lacking(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held, seen = splitter(pattern), memory.value, set()
+        from pyspark import TaskContext
+
+        held, seen, number = memory.value, set(), TaskContext.get().partitionId() << 32
+        each = splitter(model).remembered(lambda units: tuple(u for u in units if u not in held))
         for batch in batches:
-            rows: list[list] = [[], [], []]
+            numbers, at, units, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
-                units = split(text)
-                at = [k for k, u in enumerate(units) if u not in held]
-                if at and (key := _key(text)) not in seen:
+                found = [u for part in each(text) for u in part]
+                if found and (key := _key(text)) not in seen:
                     seen.add(key)
-                    for to, x in zip(rows, ([key] * len(at), at, [units[k] for k in at]), strict=True):
-                        to += x
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string())], names=["key", "pos", "unit"])
+                    number += 1
+                    numbers += [number] * len(found)
+                    at += range(len(found))
+                    units += found
+                    keys += [key] + [None] * (len(found) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(at, pa.int32()), pa.array(units, pa.string()), pa.array(keys, pa.binary())], names=["text", "pos", "unit", "key"])
+
+    # A text's number is settled once it is written. Copies in several tasks have several numbers; one of them is used.
+    places = written(plain.mapInArrow(lacking, "text long, pos int, unit string, key binary"), "places")
+    keys = places.where("key IS NOT NULL").groupBy("key").agg(F.min("text").alias("text"))
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("ids")
+            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype(code).tobytes()
+            size = np.dtype(code).itemsize
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([flat[a * size : b * size] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["unit", "ids"])
 
-    places = written(plain.mapInArrow(lacking, "key binary, pos int, unit string"), "places")
-    known = encoded_units(_dealt(written(places.select("unit").distinct(), "rare")), pieces, unigram)
-    answers = written(places.join(known, "unit").groupBy("key").agg(F.collect_set(F.struct("pos", "ids")).alias("holes")), "answers")
+    known = encoded_units(_dealt(written(places.select("unit").distinct(), "rare")), pieces, unigram).mapInArrow(packed, "unit string, ids binary")
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, F.col("text").cast("string").alias("_text"))
-    named = rows.drop("_text").schema
-    given = [f"c{k}" for k in range(len(named))]  # names of our own, whatever the columns' are
-    typed = lambda more: ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(given, named, strict=True)), more])
+    def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text's ids in the order of their places: rows of a text follow one another."""
+        last, held = None, []
+
+        def out(done: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+            names, fills = zip(*done, strict=True) if done else ((), ())
+            sizes = [np.array([len(f) for f in fill], "<u4").tobytes() for fill in fills]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.binary()), pa.array([b"".join(f) for f in fills], pa.binary())], names=["text", "sizes", "fill"])
+
+        for batch in batches:
+            done = []
+            for text, ids in zip(batch.column("text").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if text != last:
+                    if held:
+                        done.append((last, held))
+                    last, held = text, []
+                held.append(ids)
+            yield out(done)
+        yield out([(last, held)] if held else [])
+
+    found = places.select("text", "pos", "unit").join(known, "unit").select("text", "pos", "ids")
+    answers = found.repartition("text").sortWithinPartitions("text", "pos").mapInArrow(gathered, "text long, sizes binary, fill binary")
+    answers = written(answers.join(keys, "text").select("key", "sizes", "fill"), "answers")
+
+    given = [f"c{k}" for k in range(len(rows.columns) - 1)]  # names of our own, whatever the columns' are
+    kinds = [f.dataType for f in rows.schema.fields[:-1]]
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        split, held, n = splitter(pattern), memory.value, 0
-        press, gap, task = zstandard.ZstdCompressor(level=1).compress, np.array([hole], code).tobytes(), TaskContext.get().partitionId()
+        held, n = memory.value, 0
+        press, gap, task = zstandard.ZstdCompressor(level=3).compress, np.array([hole], code).tobytes(), TaskContext.get().partitionId()
+        each = splitter(model).remembered(lambda units: (b"".join([held.get(u, gap) for u in units]), sum(u not in held for u in units)))
         for batch in batches:
             keys, parts = [], []
             for text in batch.column(len(given)).to_pylist():
-                found = [held.get(u) for u in split(text)]
-                whole = None not in found
+                found = each(text)
                 # A text that lacks nothing gets a key that no other has.
-                keys.append(f"{task}/{(n := n + 1)}".encode() if whole else _key(text))
-                parts.append(press(b"".join(found if whole else [gap if x is None else x for x in found])))
+                keys.append(_key(text) if any([x[1] for x in found]) else f"{task}/{(n := n + 1)}".encode())
+                parts.append(press(b"".join([x[0] for x in found])))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(given)], pa.array(keys, pa.binary()), pa.array(parts, pa.binary())], names=[*given, "key", "parts"])
 
     def filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,21 +458,31 @@ def encode(docs: DataFrame, model: str, unigram: bool = False, keep: tuple[str,
 
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for parts, holes in zip(batch.column("parts").to_pylist(), batch.column("holes").to_pylist(), strict=True):
-                ids = np.frombuffer(unpress(parts), code).astype(np.int32)
-                at = np.flatnonzero(ids == hole)
-                if len(at):
-                    fill = [np.array(h["ids"], np.int32) for h in sorted(holes, key=lambda h: h["pos"])]
-                    between = np.split(ids, at)
-                    ids = np.concatenate([between[0], *(x for f, b in zip(fill, between[1:], strict=True) for x in (f, b[1:]))])
-                out.append(ids)
-            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(given)], lists], names=[*given, "ids"])
-
-    whole = rows.toDF(*given, "text").mapInArrow(marked, typed("key binary, parts binary")).join(answers, "key", "left")
-    return whole.select(*given, "parts", "holes").mapInArrow(filled, typed("ids array<int>")).toDF(*named.names, "ids")
+            each = [np.frombuffer(unpress(p), code) for p in batch.column("parts").to_pylist()]
+            sizes = np.frombuffer(b"".join(x or b"" for x in batch.column("sizes").to_pylist()), "<u4") // np.dtype(code).itemsize
+            fill = np.frombuffer(b"".join(x or b"" for x in batch.column("fill").to_pylist()), code)
+            ids, grown = put_in(np.concatenate(each) if each else np.zeros(0, code), hole, sizes.astype(np.int64), fill)
+            ends = np.cumsum([0, *map(len, each)])
+            ends = ends + np.concatenate([[0], np.cumsum(grown)])[ends]
+            yield pa.RecordBatch.from_arrays(make(list(batch.columns[: len(given)]), ends, ids.astype(np.int32)), names=out.names)
+
+    out = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
+    mid = StructType([*(StructField(c, t) for c, t in zip(given, kinds, strict=True)), StructField("key", BinaryType()), StructField("parts", BinaryType())])
+    whole = rows.toDF(*given, "text").mapInArrow(marked, mid).join(answers, "key", "left")
+    return whole.select(*given, "parts", "sizes", "fill").mapInArrow(filled, out).toDF(*[f.name for f in fields])
+
+
+def put_in(ids: np.ndarray, hole: int, sizes: np.ndarray, fill: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids with the k-th hole replaced by the next sizes[k] of fill, and by how much each place of ids grows."""
+    holes = ids == hole
+    if int(holes.sum()) != len(sizes):
+        raise ValueError("a text's units and their ids don't match")
+    lengths = np.ones(len(ids), np.int64)
+    lengths[holes] = sizes
+    out = np.empty(int(lengths.sum()), ids.dtype)
+    filled = np.repeat(holes, lengths)
+    out[~filled], out[filled] = ids[~holes], fill
+    return out, lengths - 1
 
 
 def _key(text: str) -> bytes:
@@ -400,18 +516,15 @@ def op9_sentencepiece(spark, sf_dir):
     """doc_id, n_tokens, ids_crc32 (of ids as little-endian unsigned 32-bit integers), round_trip (decoding gives the text back)."""
     model = tokenizer_path("piece_bpe_32k.model")
     octets = piece_bytes(model)
-    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(kept: list[pa.Array], ends: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
         from hashlib import sha256
 
-        for batch in batches:
-            lists = batch.column("ids")
-            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
-            each = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-            same = [sha256(text_of(ids.tolist(), octets)).digest() == d for ids, d in zip(each, batch.column("digest").to_pylist(), strict=True)]
-            columns = [batch.column("doc_id"), pa.array(map(len, each), pa.int64()), pa.array([zlib.crc32(ids.tobytes()) for ids in each], pa.int64()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, schema=_DIGESTS)
+        each = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        same = [sha256(text_of(x.tolist(), octets)).digest() == d for x, d in zip(each, kept[1].to_pylist(), strict=True)]
+        return [kept[0], pa.array(np.diff(ends), pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64()), pa.array(same, pa.bool_())]
 
-    return encode(docs, model, keep=("doc_id", "digest")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    text = F.col("text").cast("string")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"), text.alias("text"))
+    fields = [StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids_crc32", LongType()), StructField("round_trip", BooleanType())]
+    return _encoded(rows, model, False, digests, fields)

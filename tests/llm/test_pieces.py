@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import regex
 import sentencepiece
@@ -47,9 +48,26 @@ def test_a_sample_holds_the_same_ids(spark, monkeypatch):
 def test_units_are_cut_where_the_cuts_are():
     known = [p for p, _, _, _ in pieces.vocabulary(MODEL) if p]
     pattern = pieces.cuts(known).replace(r"\z", r"\Z")
-    split = pieces.splitter(pieces.unit_pattern(known))
-    for t in texts():
-        assert split(t) == [x for x in regex.split(pattern, " " + t, flags=regex.V1) if x]
+    split = pieces.Splitter(known)
+    each = split.remembered(list)
+    assert split.by_word
+    for t in [*texts(), "one two  three", "one two three ", "a\nb c.d e"]:
+        want = [x for x in regex.split(pattern, " " + t, flags=regex.V1) if x] if t else []
+        assert split.units(" " + t if t else "") == want and [u for part in each(t) for u in part] == want
+
+
+def test_words_are_forgotten_in_time(monkeypatch):
+    monkeypatch.setattr(pieces, "WORDS", 3)
+    split = pieces.splitter(MODEL)
+    each = split.remembered(len)
+    assert [each("a b c d e a b"), each("a a f")] == [[1] * 7, [1] * 3]
+
+
+def test_holes_are_filled_in_order():
+    ids, grown = pieces.put_in(np.array([9, 1, 9, 9, 2]), 9, np.array([2, 0, 1]), np.array([5, 6, 7]))
+    assert ids.tolist() == [5, 6, 1, 7, 2] and grown.tolist() == [1, 0, -1, 0, 0]
+    with pytest.raises(ValueError, match="match"):
+        pieces.put_in(np.array([9, 1]), 9, np.array([1, 1]), np.array([5, 6]))
 
 
 def test_empty_tables(spark):
