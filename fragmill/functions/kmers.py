@@ -54,6 +54,14 @@ def gc_before(seq: Column, position: Column) -> Column:
     return gc_count(F.substring(seq, F.lit(1), position + 1))
 
 
+def gc_before_sampled(seq: Column, position: Column, step: int) -> Column:
+    """gc_before() from counts kept at every `step`-th place and the last one, by straight lines between."""
+    low = F.floor(position / step) * step
+    high = F.least(low + step, F.length(seq) - 1)
+    below, above = gc_before(seq, low.cast("int")), gc_before(seq, high.cast("int"))
+    return F.when(high == low, below.cast("double")).otherwise(below + (above - below) * (position - low) / (high - low))
+
+
 def gc_percent(seq: Column, start: Column, end: Column) -> Column:
     """Percent of G and C in (start, end] over end - start + 1 bases, halves to even."""
     between = F.substring(seq, start + 2, F.greatest(end - start, F.lit(0)))

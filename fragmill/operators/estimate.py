@@ -207,6 +207,17 @@ def validity(weighted: DataFrame, alpha: DataFrame) -> DataFrame:
     return j.select("label", (F.col("d") > 0).alias("valid"))
 
 
+def truncate(table: DataFrame, cutoff: float = MIN_ALPHA, column: str = "num_reads") -> DataFrame:
+    """A table with abundances up to the cutoff set to zero."""
+    return table.withColumn(column, F.when(F.col(column) <= cutoff, 0.0).otherwise(F.col(column)))
+
+
+def normalise(table: DataFrame, column: str) -> DataFrame:
+    """A column divided by its sum; as it is where that is not positive."""
+    total = F.broadcast(table.agg(F.sum(column).alias("_total")))
+    return table.join(total, F.lit(True)).withColumn(column, F.when(F.col("_total") > 0, F.col(column) / F.col("_total")).otherwise(F.col(column))).drop("_total")
+
+
 def em_frame(members: DataFrame, steps: int) -> DataFrame:
     """EM as one lazy plan. members: label, tid, w, count. tid, alpha."""
     base = members.groupBy("tid").agg(F.lit(1).alias("one"))
@@ -247,5 +258,4 @@ def converged_frame(eq: DataFrame, lengths: DataFrame, variational: bool = False
             break
     if steps is not None:
         return alpha.withColumnRenamed("alpha", "num_reads")
-    kept = F.when(F.col("alpha") <= MIN_ALPHA + prior, 0.0).otherwise(F.col("alpha"))
-    return alpha.select("tid", kept.alias("num_reads"))
+    return truncate(alpha.select("tid", F.col("alpha").alias("num_reads")), MIN_ALPHA + prior)

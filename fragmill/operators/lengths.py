@@ -85,3 +85,27 @@ def unsmoothed(targets: DataFrame, dist: DataFrame, med: DataFrame) -> DataFrame
 
 def direct(targets: DataFrame) -> DataFrame:
     return targets.select("tid", "length", F.col("length").cast("double").alias("eff_length"))
+
+
+def chosen(counts: DataFrame, quota: int = 10_000, max_len: int = 1000, mean: float = 200.0, sd: float = 80.0) -> tuple[DataFrame, DataFrame, bool]:
+    """The length counts to go on with (len, n), their conditional means (len, cf), and whether they are the observed ones.
+
+    Observed counts are taken only if the quota of unique pairs was reached; else the Gaussian prior of mean and sd.
+    """
+    seen = counts.agg(F.sum("n")).first()[0] or 0
+    if seen >= quota:
+        return counts, conditional_means(counts), True
+    spark = counts.sparkSession
+    return gaussian_counts(spark, quota, max_len, mean, sd), conditional_means(gaussian(spark, max_len, mean, sd)), False
+
+
+def draws(dist: DataFrame, n: int = 10_000, seed: int = 1) -> DataFrame:
+    """k, len: n seeded draws from a distribution (len, cdf). Each draw meets its length by an equi-join on a fine grid of the cdf.
+
+    The table of lengths is as large as max_frag_len and is broadcast.
+    """
+    steps = dist.select("len", F.coalesce(F.lag("cdf").over(Window.orderBy("len")), F.lit(0.0)).alias("lo"), "cdf").where("cdf > lo")
+    table = F.broadcast(steps.agg(F.array_sort(F.collect_list(F.struct("cdf", "len"))).alias("steps")))
+    u = dist.sparkSession.range(n).select(F.col("id").alias("k"), F.rand(seed).alias("u"))
+    at = F.coalesce(F.get(F.filter("steps", lambda s: s["cdf"] > F.col("u")), F.lit(0))["len"], F.element_at("steps", -1)["len"])
+    return u.join(table, F.lit(True)).select("k", at.alias("len"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -230,17 +227,24 @@ def _digamma_sql(x: str) -> str:
     return f"(ln({y}) - 0.5 / {y}{series}" + "".join(f" - 1.0 / ({x} + {k})" for k in range(6)) + ")"
 
 
-def _em_sql(steps: int, variational: bool = False) -> str:
+def em_ctes(steps: int, variational: bool = False, first: int = 0, eff: str = "eff", wts: str = "wts") -> list[str]:
+    """CTEs a1, a2, .. of EM steps after `first` of them, over tables eq, mem, eff and wts; a0 is the start."""
     theta = f"CASE WHEN alpha > 0 THEN exp({_digamma_sql('alpha')} - {_digamma_sql('(SELECT sum(alpha) FROM a{})')}) ELSE 0 END" if variational else "alpha"
     prior = "0.01" if variational else "0.0"
-    ctes = ["a0 AS (SELECT e.tid, CASE WHEN e.tid IN (SELECT tid FROM mem) THEN (SELECT sum(count) FROM eq) / (SELECT count(DISTINCT tid) FROM mem)::DOUBLE ELSE 0.0 END AS alpha FROM eff e)"]
-    for k in range(1, steps + 1):
+    start = "SELECT (SELECT sum(count) FROM eq) / (SELECT count(DISTINCT tid) FROM mem)::DOUBLE"
+    ctes = [] if first else [f"a0 AS (SELECT e.tid, CASE WHEN e.tid IN (SELECT tid FROM mem) THEN ({start}) ELSE 0.0 END AS alpha FROM {eff} e)"]
+    for k in range(first + 1, steps + 1):
         t = theta.replace("{}", str(k - 1))
         ctes.append(f"t{k} AS MATERIALIZED (SELECT tid, {t} AS th FROM a{k - 1})")
-        ctes.append(f"p{k} AS (SELECT w.label, w.tid, w.count, len(w.label) AS sz, t.th * w.w AS p, sum(t.th * w.w) OVER (PARTITION BY w.label) AS d FROM wts w JOIN t{k} t USING (tid))")
+        part = f"SELECT w.label, w.tid, w.count, len(w.label) AS sz, t.th * w.w AS p, sum(t.th * w.w) OVER (PARTITION BY w.label) AS d FROM {wts} w JOIN t{k} t USING (tid)"
+        ctes.append(f"p{k} AS ({part})")
         ctes.append(f"s{k} AS (SELECT tid, sum(CASE WHEN sz = 1 THEN count WHEN d > 0 THEN count * p / d ELSE 0 END) AS s FROM p{k} GROUP BY tid)")
-        ctes.append(f"a{k} AS MATERIALIZED (SELECT e.tid, {prior} + coalesce(s, 0) AS alpha FROM eff e LEFT JOIN s{k} USING (tid))")
-    return f"WITH {_MEMBERS}, " + ", ".join(ctes)
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT e.tid, {prior} + coalesce(s, 0) AS alpha FROM {eff} e LEFT JOIN s{k} USING (tid))")
+    return ctes
+
+
+def _em_sql(steps: int, variational: bool = False) -> str:
+    return f"WITH {_MEMBERS}, " + ", ".join(em_ctes(steps, variational))
 
 
 def _abundance(spark, sf, variational: bool = False, steps: int | None = STEPS):
@@ -299,7 +303,7 @@ def _(spark, sf):
 
 @query("truncate_alpha", f"WITH {_QUANT} SELECT tid, CASE WHEN num_reads <= 30 THEN 0.0 ELSE num_reads END AS num_reads FROM quant")
 def _(spark, sf):
-    return _quant(spark, sf).select("tid", F.when(F.col("num_reads") <= 30, 0.0).otherwise(F.col("num_reads")).alias("num_reads"))
+    return estimate.truncate(_quant(spark, sf).select("tid", "num_reads"), 30)
 
 
 @query("conv_rel_diff", f"{_em_sql(2)} SELECT round(max(abs(x.alpha - y.alpha) / y.alpha) FILTER (y.alpha > 0.01), 9) AS max_rel_diff FROM a1 x JOIN a2 y USING (tid)")
@@ -510,13 +514,36 @@ def _(spark, sf):
     return mapping.index(sequences(spark, sf), MAP_K).groupBy("tid").agg(F.count("*").alias("n"), F.countDistinct("code").alias("n_distinct"))
 
 
-@query("quasi_map_hits")
+READ, INDEX_K = 60, 31
+
+#: Reads of 60 bases from each sequence's middle, every second one reversed, mapped back by all their 31-mers.
+_RC = "translate(reverse({}), 'ACGT', 'TGCA')"
+_SLICES = "list_transform(range(0, length({0}) - {1}), lambda p: {{'pos': p, 'kmer': substr({0}, (p + 1)::BIGINT, {2})}})"
+MAPPED = f"""{SEQUENCES}, long AS (SELECT tid, seq FROM seqs WHERE length(seq) >= 200), mid AS (SELECT tid AS frag_id, substr(seq, length(seq) // 2, {READ}) AS s FROM long),
+ reads AS (SELECT frag_id, CASE WHEN frag_id % 2 = 1 THEN {_RC.format("s")} ELSE s END AS s FROM mid),
+ ways AS (SELECT frag_id, s, true AS fwd FROM reads UNION ALL SELECT frag_id, {_RC.format("s")}, false FROM reads),
+ rk AS (SELECT frag_id, fwd, unnest({_SLICES.format("s", INDEX_K - 1, INDEX_K)}) AS x FROM ways), rkm AS (SELECT frag_id, fwd, x.pos AS rp, x.kmer AS kmer FROM rk),
+ asked AS (SELECT DISTINCT kmer FROM rkm), places AS (SELECT tid, unnest({_SLICES.format("seq", INDEX_K - 1, INDEX_K)}) AS x FROM long),
+ idx AS (SELECT tid, x.pos AS pos, x.kmer AS kmer FROM places WHERE x.kmer IN (SELECT kmer FROM asked)),
+ diag AS (SELECT frag_id, fwd, tid, pos - rp AS start, count(*) AS n FROM rkm JOIN idx USING (kmer) GROUP BY ALL),
+ best AS (SELECT *, max(n) OVER (PARTITION BY frag_id) AS m FROM diag),
+ mapped AS (SELECT frag_id::BIGINT AS frag_id, tid, start::INT AS pos, fwd, {READ}::INT AS read_len FROM best WHERE n = m)"""
+
+
+def long_sequences(spark, sf):
+    return sequences(spark, sf).where("length(seq) >= 200")
+
+
+def middles(spark, sf):
+    """frag_id, seq: the reads."""
+    mid = F.substring(F.col("seq"), F.floor(F.length("seq") / 2).cast("int"), F.lit(READ))
+    reads = F.when(F.col("tid") % 2 == 1, kmers.reverse_complement(mid)).otherwise(mid)
+    return long_sequences(spark, sf).select(F.col("tid").cast("long").alias("frag_id"), reads.alias("seq"))
+
+
+@query("quasi_map_hits", f"WITH {MAPPED} SELECT * FROM mapped")
 def _(spark, sf):
-    """Reads of 60 bases from each sequence's middle, every second one reversed, mapped back."""
-    s = sequences(spark, sf).where("length(seq) >= 200")
-    mid = F.substring(F.col("seq"), F.floor(F.length("seq") / 2).cast("int"), F.lit(60))
-    reads = s.select(F.col("tid").cast("long").alias("frag_id"), F.when(F.col("tid") % 2 == 1, kmers.reverse_complement(mid)).otherwise(mid).alias("seq"))
-    return mapping.hits(reads, mapping.index(s, 31), 31, stride=5)
+    return mapping.map_reads(middles(spark, sf), long_sequences(spark, sf), INDEX_K)
 
 
 # ---- genes --------------------------------------------------------------------------------------
@@ -566,36 +593,33 @@ def _(spark, sf):
 # ---- resampling and streaming -------------------------------------------------------------------
 
 
-def _gene_problem(spark, sf):
-    """Classes of the 25 brands: tid is a brand's place."""
-    names = sorted(r.p_brand for r in table(spark, sf, "part").select("p_brand").distinct().collect())
-    place = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))])
-    h = hits(spark, sf).join(targets(spark, sf).select("tid", "gene"), "tid").select("frag_id", place[F.col("gene")].alias("tid"))
-    return collapse.classes(assign.labels(h, dedupe=True)), np.array([300.0 + 10 * k for k in range(len(names))])
+SAMPLES, CHAINS = 4, 2
 
 
-@query("bootstrap_totals", f"WITH {HITS} SELECT range::INT AS sample_id, (SELECT count(DISTINCT frag_id) FROM hits)::DOUBLE AS total FROM range(4)")
+@query("bootstrap_totals", f"WITH {HITS} SELECT range::INT AS sample_id, (SELECT count(DISTINCT frag_id) FROM hits)::DOUBLE AS total FROM range({SAMPLES})")
 def _(spark, sf):
-    eq, eff = _gene_problem(spark, sf)
-    return resample.bootstrap(eq, eff, 4, most=60).groupBy("sample_id").agg(F.round(F.sum("value"), 3).alias("total"))
+    return QUERIES["bootstrap_samples"](spark, sf).groupBy("sample_id").agg(F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("bootstrap_samples")
 def _(spark, sf):
-    eq, eff = _gene_problem(spark, sf)
-    return resample.bootstrap(eq, eff, 4, most=60)
+    return resample.bootstrap(_eq(spark, sf), _eff(spark, sf), SAMPLES)
 
 
-@query("gibbs_totals", f"WITH {HITS} SELECT c.range::INT AS chain, s.range::INT AS sample_id, (SELECT count(DISTINCT frag_id) FROM hits) AS total FROM range(2) c, range(3) s")
+@query("gibbs_totals", f"WITH {HITS} SELECT c.range::INT AS chain, s.range::INT AS sample_id, (SELECT count(DISTINCT frag_id) FROM hits) AS total FROM range({CHAINS}) c, range(3) s")
 def _(spark, sf):
-    eq, eff = _gene_problem(spark, sf)
-    return resample.gibbs(eq, eff, np.ones(len(eff)), 3, chains=2).groupBy("chain", "sample_id").agg(F.sum("value").alias("total"))
+    eff = _eff(spark, sf)
+    drawn = resample.gibbs(_eq(spark, sf), eff, eff.select("tid", F.lit(1.0).alias("mass")), 3, chains=CHAINS)
+    return drawn.groupBy("chain", "sample_id").agg(F.sum("value").alias("total"))
 
 
 def _streamed(spark: SparkSession, sf: str, make, name: str) -> DataFrame:
+    return accumulate.drain(make(stream(spark, sf)), name)
+
+
+def stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    return accumulate.drain(make(stream), name, tempfile.mkdtemp(prefix="stream-"))
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
 
 
 @query("stream_eq_classes", "WITH l AS (SELECT DISTINCT least(user_id % 7, event_id % 5) AS a, greatest(user_id % 7, event_id % 5) AS b, event_id FROM events) SELECT a || ',' || b AS label, count(*) AS count FROM l GROUP BY ALL")

@@ -21,15 +21,34 @@ def test_format_ids_round_trip(spark):
         spark.createDataFrame([("XX",)], "n string").select(formats.parse(F.col("n"))).collect()
 
 
+#: Formats with strands S and A for paired ones too, and whether a read alone agrees with them: forward as left mate, right
+#: mate, single read, then the same reversed.
+ALONE = {
+    "U": "TTTTTT", "SF": "TFTFTF", "SR": "FTFTFT", "IU": "TTTTTT", "ISF": "TFTFTF", "ISR": "FTFTFT",
+    "OU": "TTTTTT", "OSF": "TFTFTF", "OSR": "FTFTFT", "MU": "TTTTTT", "MSF": "TTTFFF", "MSR": "FFFTTT",
+}
+
+
 def test_single_compatibility_of_s_and_a_formats(spark):
-    """With strands S and A for paired formats, as unit tests of such rules use, all 72 cases."""
-    for o in range(4):
-        for s in (2, 3, 4):
-            for fwd in (True, False):
-                for status in ("PAIRED_END_LEFT", "PAIRED_END_RIGHT", "SINGLE_END"):
-                    want = True if s == 4 else fwd == (s == 2) if o == 0 or status != "PAIRED_END_RIGHT" else fwd == (s == 3)
-                    got = spark.range(1).select(formats.compatible_single(F.lit(o), F.lit(s), F.lit(fwd), F.lit(status)).alias("c")).first().c if o in (0, 2) and fwd else want
-                    assert got == want
+    """All 72 cases, in one frame."""
+    rows = []
+    for name, truth in ALONE.items():
+        _, orientation, strand = formats.FORMATS[name]
+        strand = {formats.SA: formats.S, formats.AS: formats.A}.get(strand, strand)
+        cases = [(fwd, status) for fwd in (True, False) for status in ("PAIRED_END_LEFT", "PAIRED_END_RIGHT", "SINGLE_END")]
+        rows += [(name, orientation, strand, fwd, status, t == "T") for (fwd, status), t in zip(cases, truth, strict=True)]
+    table = spark.createDataFrame(rows, "name string, o int, s int, fwd boolean, status string, want boolean")
+    got = table.withColumn("got", formats.compatible_single(F.col("o"), F.col("s"), F.col("fwd"), F.col("status"))).collect()
+    assert len(got) == 72 and [(r.name, r.fwd, r.status, r.got) for r in got] == [(r.name, r.fwd, r.status, r.want) for r in got]
+
+
+def test_paired_compatibility(spark):
+    """All 72 cases: a format agrees with itself, and an unstranded one with both of its strands."""
+    t = formats.format_table(spark)
+    seen = t.where("type = 1 AND strandedness <> 4").select(F.col("name").alias("seen"), F.col("orientation").alias("o"), F.col("strandedness").alias("s"))
+    rows = t.crossJoin(seen).select("name", "seen", formats.compatible_pair(F.col("orientation"), F.col("strandedness"), F.col("o"), F.col("s")).alias("c")).collect()
+    both = {("IU", "ISF"), ("IU", "ISR"), ("OU", "OSF"), ("OU", "OSR"), ("MU", "MSF"), ("MU", "MSR")}
+    assert len(rows) == 72 and {(r.name, r.seen) for r in rows if r.c} == both | {(n, n) for n in ("ISF", "ISR", "OSF", "OSR", "MSF", "MSR")}
 
 
 def test_orphans_of_stranded_pairs_need_the_fix(spark):
@@ -58,6 +77,11 @@ def test_kmers(spark):
     assert [r.pos for r in strided] == list(range(0, len(seq) * 40 - 5, 7))
     rolled = spark.createDataFrame([(seq,)], "s string").select(kmers.next_index(kmers.encode(F.substring("s", 1, 6)), F.substring("s", 7, 1), 6).alias("n"), kmers.encode(F.substring("s", 2, 6)).alias("e")).first()
     assert rolled.n == rolled.e
+    back = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    pairs = [(back[k : k + 6], seq[len(seq) - 7 - k], back[k + 1 : k + 7]) for k in range(len(seq) - 6)]
+    steps = spark.createDataFrame(pairs, "here string, base string, next string")
+    wrong = steps.where(kmers.next_index(kmers.encode(F.col("here")), F.col("base"), 6, reverse=True) != kmers.encode(F.col("next")))
+    assert steps.count() == 44 and wrong.count() == 0
 
 
 def test_digamma(spark):
@@ -110,6 +134,42 @@ def test_em(spark, monkeypatch):
         estimate.truncated(np.zeros(3))
 
 
+@pytest.mark.parametrize("variational", [False, True])
+def test_em_past_any_number_of_targets(spark, monkeypatch, variational):
+    eq = spark.createDataFrame([([10, 20], 100), ([10], 100), ([20, 900], 40), ([7, 7], 5)], "label array<int>, count long")
+    lens = spark.createDataFrame([(900, 300.0), (10, 100.0), (7, 50.0), (20, 100.0), (8, 10.0)], "tid int, eff_length double")
+    held = {r.tid: r.num_reads for r in estimate.abundance(eq, lens, variational).collect()}
+    few = {r.tid: r.num_reads for r in estimate.abundance(eq, lens, variational, steps=3).collect()}
+    assert set(held) == {7, 8, 10, 20, 900} and held[8] == 0
+    monkeypatch.setattr(estimate, "MAX_TARGETS", 2)
+    table = {r.tid: r.num_reads for r in estimate.abundance(eq, lens, variational, steps=3).collect()}
+    assert table == pytest.approx(few)
+    with pytest.raises(ValueError, match="converged_frame"):
+        estimate.Problem(eq, lens)
+    # Any change is small enough here, so that the loop ends after the least number of steps.
+    done = {r.tid: r.num_reads for r in estimate.converged_frame(eq, lens, variational, tolerance=1e9, least=2).collect()}
+    two = {r.tid: r.num_reads for r in estimate.converged_frame(eq, lens, variational, steps=2).collect()}
+    assert done == pytest.approx({t: 0.0 if v <= 0.01 + 1e-8 and variational else v for t, v in two.items()})
+
+
+def test_a_class_of_an_unknown_target_is_an_error(spark):
+    eq = spark.createDataFrame([([1, 5], 3)], "label array<int>, count long")
+    with pytest.raises(Exception, match="no length"):
+        estimate.Problem(eq, spark.createDataFrame([(1, 10.0)], "tid int, eff_length double"))
+
+
+def test_lengths_change_where_they_are_worked_out_again(spark):
+    p = _problem(spark, [([0, 1], 100)], [100.0, 100.0])
+    seen = []
+
+    def longer(tids, alpha, now):
+        seen.append((tids.tolist(), alpha.tolist()))
+        return now * np.array([1.0, 3.0])
+
+    assert p.fixed(4, recompute=longer, at=(3,)) == pytest.approx([75, 25]) and seen == [([0, 1], [50.0, 50.0])]
+    assert p.converged(recompute=longer, at=(10_000,))[1] == estimate.MIN_ITERATIONS
+
+
 def test_lengths(spark):
     counts = spark.createDataFrame([(k, n) for k, n in enumerate([0, 0, 5, 3, 0, 2])], "len long, n long")
     cf = {r.len: r.cf for r in lengths.conditional_means(counts).collect()}
@@ -147,8 +207,31 @@ def test_gc_bias_against_loops(spark):
     got = {r.bin: r.x for r in bias.expected_gc(t, fl, mass).collect()}
     assert [got[b] for b in range(101)] == pytest.approx(list(want))
     observed = want * 3 + 1
+    r, total = observed.sum(), want.sum()
+    factor = observed / (total / (r - 101) + want)
     out = {r.tid: r.eff_length for r in bias.corrected_by_gc(t, fl, mass, observed, want).collect()}
-    assert all(v == 40.0 or v > 20 for v in out.values())
+    for k, s in enumerate(seqs):
+        new, last = 0.0, cdf[0][1]
+        for length in range(1, 41, 4):
+            m, last = cdf[length][1] - last, cdf[length][1]
+            for i in range(60 - 6):
+                if i + length - 1 < 60:
+                    g = sum(c in "GC" for c in s[i + 1 : i + length])
+                    new += m * factor[int(np.rint(100.0 * g / length))]
+        new *= total / r
+        assert out[k] == pytest.approx(new if new > 20 else 40.0)
+
+
+def test_sampled_gc_counts(spark):
+    rng = np.random.default_rng(4)
+    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in (1, 7, 16, 17, 50)]
+    rows = spark.createDataFrame([(k, p, s) for k, s in enumerate(seqs) for p in range(len(s))], "k int, p int, s string")
+    for step in (1, 4):
+        for r in rows.select("k", "p", kmers.gc_before_sampled(F.col("s"), F.col("p"), step).alias("g")).collect():
+            s = seqs[r.k]
+            gc = np.cumsum([c in "GC" for c in s])
+            at = sorted({*range(0, len(s), step), len(s) - 1})
+            assert r.g == pytest.approx(np.interp(r.p, at, gc[at]))
 
 
 def test_genes(spark):
@@ -168,6 +251,120 @@ def test_resampling_keeps_counts_and_repeats(spark):
     assert all(abs(r.t - 180) < 1e-6 for r in resample.bootstrap(eq, np.ones(3), 3).groupBy("sample_id").agg(F.sum("value").alias("t")).collect())
 
 
+def _moments(table, tids):
+    by = {}
+    for r in table:
+        by.setdefault(r.tid, []).append(r.value)
+    return np.array([np.mean(by[t]) for t in tids]), np.array([np.var(by[t], ddof=1) for t in tids])
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_bootstrap_moments(spark, monkeypatch, local):
+    """Classes of one target are multinomial counts: their means and variances are known. Few replicates where steps are distributed."""
+    counts = {3: 100, 5: 300, 8: 600}
+    eq = spark.createDataFrame([([t], n) for t, n in counts.items()] + [([9, 10], 0)], "label array<int>, count long")
+    lens = spark.createDataFrame([(t, 100.0) for t in (3, 5, 8, 9, 10)], "tid int, eff_length double")
+    if not local:
+        monkeypatch.setattr(estimate, "LOCAL_MEMBERS", 0)
+    n = 400 if local else 6
+    rows = resample.bootstrap(eq, lens, n, seed=3).collect()
+    total = {}
+    for r in rows:
+        total[r.sample_id] = total.get(r.sample_id, 0) + r.value
+    assert len(total) == n and all(t == pytest.approx(1000) for t in total.values())
+    mean, var = _moments(rows, counts)
+    p = np.array(list(counts.values())) / 1000
+    assert (np.abs(mean - 1000 * p) < 5 * np.sqrt(1000 * p * (1 - p) / n)).all()
+    if local:
+        assert (np.abs(var / (1000 * p * (1 - p)) - 1) < 0.35).all()
+
+
+def test_redrawn_classes_keep_their_number(spark):
+    eq = spark.range(0, 200, 1, 7).select(F.array(F.col("id").cast("int")).alias("label"), (F.col("id") % 9).alias("count"))
+    want = sum(k % 9 for k in range(200))
+    for sample in range(5):
+        rows = resample.redrawn(eq, 1, sample).collect()
+        assert sum(r["count"] for r in rows) == want and all(r["count"] == 0 for r in rows if r.label[0] % 9 == 0)
+
+
+def test_gibbs_moments(spark):
+    """A class of two targets beside classes of one: the means lie near what EM gives."""
+    eq = spark.createDataFrame([([0], 600), ([1], 200), ([0, 1], 400)], "label array<int>, count long")
+    rows = resample.gibbs(eq, np.array([100.0, 100.0]), np.array([900.0, 300.0]), 150, chains=2, thin=2, seed=5).collect()
+    mean, var = _moments(rows, [0, 1])
+    assert mean == pytest.approx([900, 300], rel=0.1) and (var > 0).all() and mean.sum() == pytest.approx(1200)
+    eq, alpha = eq.unionByName(spark.createDataFrame([([2], 5)], "label array<int>, count long")), spark.createDataFrame([(0, 900.0), (1, 300.0), (2, 0.0)], "tid int, num_reads double")
+    kept = resample.valid_classes(eq, alpha, alpha)
+    assert sorted(r.label for r in kept.collect()) == [[0], [0, 1], [1]]
+
+
+def test_drawn_lengths_follow_their_distribution(spark):
+    dist = spark.createDataFrame([(0, 0.0), (1, 0.25), (2, 0.25), (3, 1.0)], "len int, cdf double")
+    got = {r.len: r.n for r in lengths.draws(dist, 4000, seed=2).groupBy("len").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {1, 3} and got[1] == pytest.approx(1000, abs=150)
+
+
+def test_mates_merge(spark):
+    pair, left, right = assign.PAIRED_STATUS, assign.LEFT, assign.RIGHT
+    l = spark.createDataFrame([(1, 1), (1, 2), (2, 5), (3, 7), (4, 8)], "frag_id long, tid int")
+    r = spark.createDataFrame([(1, 2), (2, 6), (5, 9), (6, 9)], "frag_id long, tid int")
+    seen = spark.createDataFrame([(1, True, True), (2, True, True), (3, True, False), (4, True, True), (5, None, True), (6, True, True)], "frag_id long, left boolean, right boolean")
+    # 2: different targets alone; 4 and 6: the other mate matched somewhere.
+    assert {tuple(x) for x in assign.fuzzy_intersection(l, r, seen).collect()} == {(1, 2, pair), (3, 7, left), (5, 9, right)}
+    hit = "frag_id long, tid int, pos int, fwd boolean, read_len int"
+    one = spark.createDataFrame([(1, 2, 30, True, 10), (1, 2, 20, True, 10), (3, 7, 5, False, 10)], hit)
+    two = spark.createDataFrame([(1, 2, 60, False, 10), (5, 9, 8, True, 10)], hit)
+    got = {x.frag_id: x for x in assign.paired_hits(one, two, assign.fuzzy_intersection(l, r, seen)).collect()}
+    assert (got[1].pos, got[1].mate_pos, got[1].frag_len, got[1].mate_fwd) == (20, 60, 50, False)
+    assert (got[5].pos, got[5].mate_status, got[5].mate_pos, got[5].frag_len) == (8, right, None, 0) and got[5].hit_ord > got[3].hit_ord
+    assert assign.single_hits(one).where("mate_status = 'SINGLE_END'").count() == 3
+
+
+def test_bias_samples_take_the_first_that_fits(spark):
+    pair = assign.PAIRED_STATUS
+    h = _hits(spark, [(1, 0, 1, 0, True, 5, pair, 9, False, 5, 9), (1, 1, 1, 3, True, 5, pair, 9, False, 5, 9), (1, 2, 1, 4, True, 5, pair, 9, False, 5, 9), (2, 0, 1, 8, False, 5, pair, 9, False, 5, 9), (3, 0, 1, 18, True, 5, pair, 9, True, 5, 9)])
+    lens = spark.createDataFrame([(1, 20)], "tid int, length int")
+    assert [tuple(r) for r in assign.bias_samples(h, lens).collect()] == [(1, 1, 3, True), (2, 1, 13, False)]
+    assert assign.bias_samples(h, lens, quota=1).count() == 1
+
+
+def test_sequence_bias_against_loops(spark):
+    rng = np.random.default_rng(6)
+    seqs = ["".join(rng.choice(list("ACGTN"), 60, p=[0.25, 0.25, 0.24, 0.24, 0.02])) for _ in range(3)] + ["ACGTAC"]
+    t = spark.createDataFrame([(k, s, len(s), 0.6 * len(s), 0.5 * len(s), 1.0 + k) for k, s in enumerate(seqs)], "tid int, seq string, length int, unprocessed double, eff_length double, alpha double")
+    q = [min(1.0, k / 40) for k in range(50)]
+    cdf = spark.createDataFrame(list(enumerate(q)), "len int, cdf double")
+    at = lambda m: q[m] if m < len(q) else 1.0
+    code = lambda w: None if "N" in w else int(w.translate(str.maketrans("ACGT", "0123")), 4)
+    rc = lambda w: w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = np.ones(4096)
+    for k, s in enumerate(seqs[:3]):
+        for i in range(60 - 6):
+            w = s[i : i + 6]
+            if code(w) is not None:
+                if 60 - i - 1 < 60:
+                    want[code(rc(w))] += 0.7 * (1 + k) / 30 * at(60 - i - 1)
+                if i + 5 < 60:
+                    want[code(w)] += 0.3 * (1 + k) / 30 * at(i + 5)
+    expected = bias.expected_kmers(t, cdf, 0.7)
+    assert [r.x for r in expected.orderBy("idx").collect()] == pytest.approx(list(want))
+    n = rng.integers(1, 9, 4096)
+    observed = spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "idx long, n long")
+    r, total = n.sum(), want.sum()
+    out = {x.tid: x.eff_length for x in bias.corrected_by_sequence(t, cdf, observed, expected, 0.7).collect()}
+    for k, s in enumerate(seqs[:3]):
+        new = 0.0
+        for i in range(60 - 6):
+            w = s[i : i + 6]
+            if code(w) is not None:
+                f = lambda c: n[c] / (want[c] + total / (r - 4096))
+                new += 0.7 * f(code(rc(w))) * at(60 - (i + 2) + 1) if i + 2 < 60 else 0
+                new += 0.3 * f(code(w)) * at(i + 5) if i + 4 < 60 else 0
+        new *= total / r
+        assert out[k] == pytest.approx(new if new > 24 else 30.0)
+    assert out[3] == 3.0
+
+
 def test_mapping_finds_origins(spark):
     rng = np.random.default_rng(1)
     seqs = ["".join(rng.choice(list("ACGT"), 200)) for _ in range(4)]
@@ -178,6 +375,10 @@ def test_mapping_finds_origins(spark):
     assert got == {(k, k, 50, bool(k % 2)) for k in range(4)}
     with pytest.raises(ValueError, match="odd"):
         mapping.index(idx, 16)
+    table = lambda rows, c: spark.createDataFrame(rows, f"{c} long, seq string")
+    again = mapping.map_reads(table(reads, "frag_id"), table(list(enumerate(seqs)), "tid"), 15)
+    assert {(r.frag_id, r.tid, r.pos, r.fwd) for r in again.collect()} == got
+    assert mapping.map_reads(table([(1, None), (2, "AC")], "frag_id"), table([(1, None), (2, "")], "tid"), 15).count() == 0
 
 
 def test_sources(spark, tmp_path):
