@@ -29,6 +29,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -43,11 +44,9 @@ _SPACE = "▁"
 #: Classes of characters as ranges, so that all libraries agree on them; what is in none is a class too.
 CLASSES = ("A-Za-zÀ-ÖØ-öø-ÿ", "0-9", " ", r"\x00-\x1F!-/:-@\[-`{-\x7F")
 #: Units that every worker holds, their characters at most, and the characters of the sample they are counted in.
-MEMORY, HELD_LENGTH, SAMPLE = 400_000, 48, 1 << 28
+MEMORY, HELD_LENGTH, SAMPLE = 400_000, 48, 1 << 27
 #: Distinct units that one task makes lattices of, and units of a document table's task that are counted at once.
 TASK_UNITS, COUNTED = 40_000, 1 << 18
-#: Words that a worker remembers.
-WORDS = 500_000
 #: Characters of a unit up to which the fold's state is one number: a bit a place, the end included.
 SHORT = 61
 
@@ -142,10 +141,10 @@ def unit_pattern(pieces: Iterable[str]) -> str:
 
 
 class Splitter:
-    """Texts to units, and to what is remembered of their words.
+    """Texts to units, and to the ids of those that are held.
 
-    Where a cut lies before every space, a text without double spaces is its words, each with a space in front; what is
-    wanted of a word's units is then worked out once a word. At most WORDS words are remembered at a time.
+    Where a cut lies before every space, a text without double spaces is its words, each with a space in front. Most words
+    are one unit that is held; only the others are split further, all of a text at once.
     """
 
     def __init__(self, pieces: Iterable[str]):
@@ -154,36 +153,52 @@ class Splitter:
         self.units = re.compile(unit_pattern(pieces), re.DOTALL).findall
         self.by_word = not any(space in b for a, b in after.items() if a != space)
 
-    def words(self, text: str | None) -> tuple[bool, list[str]]:
-        """Whether the parts are words, and they; else one part, the text with the space that every text is given in front."""
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text, of which each with a space in front is whole units; None if it isn't so."""
+        return text.split(" ") if self.by_word and text[0] != " " and "  " not in text else None
+
+    def lacking(self, text: str | None, held: Held) -> list[str]:
+        """The units of a text that aren't held, in their order."""
+        if not text:
+            return []
+        words = self.words(text)
+        if words is not None:
+            alone = held.alone
+            words = [w for w in words if w not in alone]
+            if not words:
+                return []
+            text = " ".join(words)
+        return [u for u in self.units(" " + text) if u not in held.units]
+
+    def encoded(self, text: str | None, held: Held, gap: bytes) -> list[bytes]:
+        """Ids of a text's units, `gap` for each that isn't held."""
         if not text:
-            return False, []
-        if self.by_word and text[0] != " " and "  " not in text:
-            return True, text.split(" ")
-        return False, [" " + text]
-
-    def remembered(self, what: Callable[[list[str]], object]) -> Callable[[str | None], list]:
-        """A function from a text to what(units) of each of its parts, in their order."""
-        held: dict[str, object] = {}
-        units = self.units
-
-        def each(text: str | None) -> list:
-            known, parts = self.words(text)
-            if not known:
-                return [what(units(p)) for p in parts]
-            out = list(map(held.get, parts))
-            if None in out:
-                for k, x in enumerate(out):
-                    if x is None:
-                        word = parts[k]
-                        if (x := held.get(word)) is None:
-                            if len(held) >= WORDS:
-                                held.clear()
-                            x = held[word] = what(units(" " + word))
-                        out[k] = x
-            return out
-
-        return each
+            return []
+        words, get = self.words(text), held.units.get
+        if words is None:
+            return [get(u, gap) for u in self.units(" " + text)]
+        out = list(map(held.alone.get, words))
+        units = self.units(" " + " ".join([w for w, ids in zip(words, out, strict=True) if ids is None])) if None in out else []
+        at, n = 0, len(units)
+        for k in [k for k, ids in enumerate(out) if ids is None] if units else ():
+            ids, at = get(units[at], gap), at + 1
+            while at < n and units[at][0] != " ":  # the next word's first unit begins with its space
+                ids, at = ids + get(units[at], gap), at + 1
+            out[k] = ids
+        return out
+
+
+@dataclass
+class Held:
+    """Units and their ids; alone: those that are a word with a space in front, by the word."""
+
+    units: dict[str, bytes]
+
+    def __post_init__(self):
+        self.alone = {u[1:]: ids for u, ids in self.units.items() if u[0] == " " and len(u) > 1 and u[1] != " "}
+
+    def __reduce__(self):
+        return Held, (self.units,)
 
 
 @lru_cache(maxsize=4)
@@ -309,28 +324,15 @@ def _frequent(docs: DataFrame, model: str) -> DataFrame:
     share = min(1.0, SAMPLE / max(1, sizes[1] or 0))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words, held = splitter(model), Counter(), Counter()
-
-        def settled() -> None:
-            for word, n in words.items():
-                for unit in split.units(" " + word):
-                    held[unit] += n
-            words.clear()
-
+        units, held = splitter(model).units, Counter()
         out = lambda: pa.RecordBatch.from_pydict({"unit": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                known, parts = split.words(text)
-                if known:
-                    words.update(parts)
-                else:
-                    held.update(u for p in parts for u in split.units(p))
-                if len(words) > COUNTED:
-                    settled()
+                if text:
+                    held.update(units(" " + text))
                 if len(held) > COUNTED:
                     yield out()
                     held.clear()
-        settled()
         yield out()
 
     some = docs.select("text") if share == 1 else docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -377,17 +379,17 @@ def _encoded(rows: DataFrame, model: str, unigram: bool, make: Callable[[list[pa
     code = "<u2" if hole < 1 << 16 else "<u4"
     plain = rows.select(F.col(rows.columns[-1]).alias("text"))
     top = encoded_units(_dealt(_frequent(plain, model)), pieces, unigram).toArrow()
-    memory = spark.sparkContext.broadcast({u: np.array(i, code).tobytes() for u, i in zip(top.column("unit").to_pylist(), top.column("ids").to_pylist(), strict=True)})
+    memory = spark.sparkContext.broadcast(Held({u: np.array(i, code).tobytes() for u, i in zip(top.column("unit").to_pylist(), top.column("ids").to_pylist(), strict=True)}))
 
     def lacking(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         held, seen, number = memory.value, set(), TaskContext.get().partitionId() << 32
-        each = splitter(model).remembered(lambda units: tuple(u for u in units if u not in held))
+        split = splitter(model)
         for batch in batches:
             numbers, at, units, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
-                found = [u for part in each(text) for u in part]
+                found = split.lacking(text, held)
                 if found and (key := _key(text)) not in seen:
                     seen.add(key)
                     number += 1
@@ -443,14 +445,15 @@ def _encoded(rows: DataFrame, model: str, unigram: bool, make: Callable[[list[pa
 
         held, n = memory.value, 0
         press, gap, task = zstandard.ZstdCompressor(level=3).compress, np.array([hole], code).tobytes(), TaskContext.get().partitionId()
-        each = splitter(model).remembered(lambda units: (b"".join([held.get(u, gap) for u in units]), sum(u not in held for u in units)))
+        split = splitter(model)
         for batch in batches:
             keys, parts = [], []
             for text in batch.column(len(given)).to_pylist():
-                found = each(text)
+                whole = b"".join(split.encoded(text, held, gap))
                 # A text that lacks nothing gets a key that no other has.
-                keys.append(_key(text) if any([x[1] for x in found]) else f"{task}/{(n := n + 1)}".encode())
-                parts.append(press(b"".join([x[0] for x in found])))
+                lacks = bool((np.frombuffer(whole, code) == hole).any())
+                keys.append(_key(text) if lacks else f"{task}/{(n := n + 1)}".encode())
+                parts.append(press(whole))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(given)], pa.array(keys, pa.binary()), pa.array(parts, pa.binary())], names=[*given, "key", "parts"])
 
     def filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,19 +48,14 @@ def test_a_sample_holds_the_same_ids(spark, monkeypatch):
 def test_units_are_cut_where_the_cuts_are():
     known = [p for p, _, _, _ in pieces.vocabulary(MODEL) if p]
     pattern = pieces.cuts(known).replace(r"\z", r"\Z")
-    split = pieces.Splitter(known)
-    each = split.remembered(list)
+    split, rng = pieces.Splitter(known), random.Random(3)
     assert split.by_word
-    for t in [*texts(), "one two  three", "one two three ", "a\nb c.d e"]:
+    for t in [*texts(), "one two  three", "one two three ", "a\nb c.d e", "1 2 x1 (y)"]:
         want = [x for x in regex.split(pattern, " " + t, flags=regex.V1) if x] if t else []
-        assert split.units(" " + t if t else "") == want and [u for part in each(t) for u in part] == want
-
-
-def test_words_are_forgotten_in_time(monkeypatch):
-    monkeypatch.setattr(pieces, "WORDS", 3)
-    split = pieces.splitter(MODEL)
-    each = split.remembered(len)
-    assert [each("a b c d e a b"), each("a a f")] == [[1] * 7, [1] * 3]
+        assert split.units(" " + t if t else "") == want
+        held = pieces.Held({u: u.encode() for u in set(want) if rng.random() < 0.5})
+        assert split.lacking(t, held) == [u for u in want if u not in held.units]
+        assert b"".join(split.encoded(t, held, b"?")) == b"".join(held.units.get(u, b"?") for u in want)
 
 
 def test_holes_are_filled_in_order():
