@@ -4,8 +4,8 @@ A unit vector is padded, turned by a random rotation and kept as the signs of it
 packed bits, with two scalars: the vector's length and the code's agreement with what it codes. A
 query is turned too and quantised to a few bits, so that its product with a code is a sum of bit
 counts. The product divided by the agreement estimates the inner product without bias, and the
-agreement bounds the error. Whatever could be among the k nearest by its upper bound, given the
-k-th best lower bound, is ranked again by the original vectors in double precision.
+agreement bounds the error. The exact products of the vectors with the best estimates give a k-th best; whatever could
+reach it by its upper bound is ranked again by the original vectors in double precision.
 
 The index needs no training; every row is indexed. Cases: null vectors, null ids, zero vectors and vectors with a
 null or non-finite component take no part. Vectors of different length aren't compared. Equal scores go to the
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ from .common import table
 
 K, QUERY_EVERY, SEED = 20, 20, 20260
 #: Bits of a code for each component; bits of a query's component; width of the error bound in standard deviations.
-EXPANSION, QUERY_BITS, EPSILON = 4, 6, 3.0
+EXPANSION, QUERY_BITS, EPSILON = 4, 4, 3.0
+#: Vectors of the best estimates, for each of the k, whose exact products give the k-th best to reach.
+AHEAD = 3
 
 
 @lru_cache(maxsize=8)
@@ -55,6 +58,10 @@ def encode(x: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in (words, norms, agreement, x))
 
 
+#: Rounding errors of products, of the vectors' lengths.
+SLACK = 1e-12
+
+
 def exact(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products, added up from the first component to the last."""
     return np.cumsum(x * query, axis=1)[:, -1]
@@ -88,11 +95,14 @@ def best(dim: int, ids: np.ndarray, data: bytes, q_ids: np.ndarray, q_data: byte
         error = (spread + EPSILON * step / np.sqrt(12) / agreement) * norms
         estimate = product / agreement * norms
         own = slice(np.searchsorted(ids, q_ids[position], "left"), np.searchsorted(ids, q_ids[position], "right"))
-        lower, upper = estimate - error, estimate + error
-        lower[own] = upper[own] = -np.inf
-        if n > k:
-            upper[upper < np.partition(lower, n - k)[n - k]] = -np.inf
-        again = np.flatnonzero(upper > -np.inf)
+        estimate[own] = -np.inf
+        again, others = np.arange(n), n - (own.stop - own.start)
+        if others > AHEAD * k:
+            first = np.argpartition(estimate, n - AHEAD * k)[n - AHEAD * k :]
+            least = np.partition(exact(x[first], query), (AHEAD - 1) * k)[(AHEAD - 1) * k]
+            again = np.flatnonzero(estimate + error >= least - SLACK * length * np.abs(norms).max())
+            again = np.union1d(again, first)
+        again = again[estimate[again] > -np.inf]
         scores = exact(x[again], query)
         if len(again) > k:
             keep = np.lexsort((again, -scores))[:k]
@@ -104,7 +114,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id long, rank int, vec_id long, score double: each query's k nearest found, nearest first."""
     nonzero = F.exists("embedding", lambda e: e != 0)
     candidates = finite(vectors).where(nonzero)
-    return search(candidates, finite(queries).where(nonzero), candidates.count(), k, encode, lambda x: x.tobytes(), best)
+    return search(candidates, finite(queries).where(nonzero), candidates.count(), k, encode, lambda x: x.tobytes(), best, pa.float64())
 
 
 def op10_one_bit_ann(spark, sf_dir):

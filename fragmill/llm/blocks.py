@@ -2,8 +2,11 @@
 
 Vectors are packed into block rows of a bounded number of vectors. Candidate blocks are dealt
 over groups; each query block goes to every group once, and an equi-join on the group pairs them.
-A task then holds one pair of blocks at a time, whatever the tables' size, and gives each query's
+A task then holds few pairs of blocks at a time, whatever the tables' size, and gives each query's
 best of the block, which are merged in the JVM.
+
+Cases: finite() leaves out null ids, null vectors and vectors with a null or non-finite component; empty vectors are
+vectors of dimension 0. Vectors of different dimension never meet. No candidates or no queries: no rows.
 """
 
 from __future__ import annotations
@@ -15,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Vectors in a candidate block and in a query block.
 ROWS, QUERIES = 8192, 1024
 _BLOCK = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def finite(vectors: DataFrame) -> DataFrame:
@@ -71,14 +73,15 @@ def search(
     encode: Callable[[np.ndarray], bytes],
     encode_query: Callable[[np.ndarray], bytes],
     best: Callable[[int, np.ndarray, bytes, np.ndarray, bytes, int], Iterator[tuple[int, np.ndarray, np.ndarray]]],
+    score: pa.DataType,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each query, ties to the smaller vec_id.
 
     n: the candidates' number, from which the number of groups follows. best gives, for a pair of
-    blocks, each query's position with the ids and scores of its (at least k, if there are) best.
+    blocks, each query's position with the ids and scores of its (at least k, if there are) best; score is their type.
+    A batch's bytes are bounded (small_batches), so a task holds few blocks at a time.
     """
-    spark = candidates.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    small_batches(candidates.sparkSession)
     groups = max(1, -(-n // ROWS))
     spread = candidates.repartition(min(groups, 4096)) if groups > 1 else candidates
     number = F.monotonically_increasing_id()  # a partition's number above 33 bits, a row's below
@@ -97,12 +100,11 @@ def search(
                     out[1].append(found)
                     out[2].append(scores)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, _FOUND.types, strict=True)], schema=_FOUND)
+                    types = (pa.int64(), pa.int64(), score)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, types, strict=True)], names=["query_id", "vec_id", "score"])
 
-    # From here on a row is a pair of blocks.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     pairs = q.join(c, (F.col("q_g") == F.col("g")) & (F.col("q_dim") == F.col("dim")))
-    found = pairs.select("dim", "ids", "data", "q_ids", "q_data").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = pairs.select("dim", "ids", "data", "q_ids", "q_data").mapInArrow(run, f"query_id long, vec_id long, score {'double' if score == pa.float64() else 'long'}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
