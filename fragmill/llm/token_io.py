@@ -9,7 +9,8 @@ documents reads the footer, the index and the frames that hold them.
 Files come from Spark's own text writer, one record a file, so any store that Spark writes to
 will do, and its commit protocol keeps one copy when tasks run again or twice. The writer ends a
 record with its line separator, which here is the footer's magic number. Files are in ascending
-doc_id order by name, documents in ascending doc_id order in them, rows of equal doc_id by text.
+doc_id order by the numbers in their names, documents in ascending doc_id order in them, rows of equal doc_id by
+their texts' hashes.
 
 Cases: a null or empty text is the end id alone. A null doc_id comes first. Repeated rows are kept
 each. An empty table writes no archive and reads back as no rows. Other columns are ignored.
@@ -18,7 +19,6 @@ each. An empty table writes no archive and reads back as no rows. Other columns
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, shared_dir, table, tokenizer_path
+from .common import encoder, small_batches, table, temporary, tokenizer_path
 
 END_ID = 2
 #: Bytes of ids in a frame and in a file, before compression; a longer document has a frame or file of its own.
@@ -115,9 +115,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file
         if held:
             yield out()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    # Rows of one doc_id, or of none, may be many: the text's hash deals them on.
+    place = ("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place)
+    files = ordered.select("doc_id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     tail = struct.pack("<I", FOOTER).decode("iso-8859-1")
     files.write.option("maxRecordsPerFile", 1).option("lineSep", tail).option("encoding", "ISO-8859-1").text(path)
 
@@ -150,20 +153,24 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> Da
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    # Few files in a batch: each is up to FILE bytes before compression.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    small_batches(spark)  # few files in a batch: its bytes are bounded
     return files(spark, path).mapInArrow(run, "doc_id long, file string, start_in_file long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def starts(docs: DataFrame) -> DataFrame:
-    """Adds start: the ids of all documents before, over all files in the order of their names."""
-    sizes = docs.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("file", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("before"))
-    return docs.join(sizes, "file").withColumn("start", F.col("before") + F.col("start_in_file"))
+    """Adds start: the ids of all documents before, over all files in their order: by the writing task, then by its count of files.
+
+    Both are numbers in a file's name; as text, the thousandth file would come before the second.
+    """
+    number = lambda pattern: F.regexp_extract(F.element_at(F.split("file", "/"), -1), pattern, 1).cast("long")
+    sizes = docs.groupBy("file").agg(F.sum("n_tokens").alias("in_file")).select("file", "in_file", number(r"^part-(\d+)-").alias("task"), number(r"-c(\d+)\b").alias("count"))
+    up = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = sizes.groupBy("task").agg(F.sum("in_file").alias("in_task")).select("task", up(Window.orderBy("task"), "in_task").alias("earlier"))
+    sizes = sizes.withColumn("here", up(Window.partitionBy("task").orderBy("count"), "in_file")).join(tasks, "task")
+    return docs.join(sizes.select("file", (F.col("earlier") + F.col("here")).alias("before")), "file").withColumn("start", F.col("before") + F.col("start_in_file"))
 
 
 def op8_token_binary(spark, sf_dir):
-    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = f"{temporary(spark, 'token-ids')}/archives"
     write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
     return starts(read(spark, path).drop("ids")).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -314,3 +314,14 @@ def test_cuts_are_only_where_no_piece_has_such_neighbours():
     pattern = pieces.cuts([" ab", "b", "1.", "."]).replace(r"\z", r"\Z")
     cut = lambda t: [x for x in regex.split(pattern, t, flags=regex.V1) if x]
     assert cut(" ab ab") == [" ab", " ab"] and cut(" a1.2é漢") == [" a", "1.", "2", "é", "漢"]
+
+
+def test_starts_over_more_than_a_thousand_files(spark, tmp_path):
+    """A file a document: the thousandth file's name comes before the second's in the order of texts."""
+    rows = [(k, "word " * (k % 7)) for k in range(1300)] + [(None, "none"), (5, "word " * 5), (5, "other")]
+    path = str(tmp_path / "many")
+    token_io.write(docs(spark, rows).coalesce(1), path, WORD, file_bytes=1)
+    got = sorted((r.start, r.n_tokens, -1 if r.doc_id is None else r.doc_id) for r in token_io.starts(token_io.read(spark, path).drop("ids")).collect())
+    assert len(got) == len(rows) and [s for s, _, _ in got] == list(itertools.accumulate([0] + [n for _, n, _ in got[:-1]]))
+    assert [d for _, _, d in got] == sorted(d for _, _, d in got)
+    assert token_io.starts(token_io.read(spark, path, [])).count() == 0
