@@ -4,7 +4,8 @@
    by likelihood ratio; and fixed patterns of style. Each votes for "toxic" or abstains.
 2. Generative label model. From how often voters vote and vote together over all documents (two
    small sums, not rows) it estimates each voter's rates of voting on toxic and on other texts, and
-   which pairs are correlated beyond that; correlated voters share their weight.
+   which pairs are correlated beyond that; correlated voters share their weight. The sample's rates are where it starts,
+   and weigh as much as so few rows can tell.
 3. Linear classifier. Logistic regression on the votes, trained on the label model's posteriors of the sample.
 
 Labels are learned from rows that the caller passes; ids, languages and sources are never inputs. Cases: null and
@@ -22,17 +23,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 #: Labelled rows that voters are mined from and the classifier is trained on, at most.
 SAMPLE = 8000
+#: Characters of the sample's texts, at most: rows beyond are left out, in the order of a hash.
+SAMPLE_CHARS = 1 << 27
 #: Terms at most; bytes of stems; least log-likelihood ratio and precision of a term.
 MAX_TERMS, STEMS, LEAST_LLR, LEAST_PRECISION = 40, (4, 5, 6, 7, 8), 20.0, 0.9
-#: How far each step of the label model goes back to the sample's rates.
-PULL = 0.2
+#: Sweeps of the label model between looks for correlated pairs; documents that a moment counts for at most, since no
+#: corpus follows the model exactly; correlation beyond the model's from which a pair is set aside.
+SWEEPS, MOST_DOCUMENTS, CORRELATED = 60, 1_000_000, 0.25
 #: Shares of a text's words that begin with a stem, for its two voters.
 SOME, MANY = 0.003, 0.005
 
@@ -132,35 +136,54 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit_label_model(n: int, sums: np.ndarray, together: np.ndarray, prior: float, start: np.ndarray, rounds: int = 400) -> LabelModel:
+def fit_label_model(n: int, sums: np.ndarray, together: np.ndarray, prior: float, start: np.ndarray, support: tuple[float, float]) -> LabelModel:
     """From n documents' votes: sums of each voter and of each pair.
 
-    start: two rows of voting rates to start from, on toxic and on other texts. Rates fit the single and the joint
-    frequencies, P(i, j) = p a_i a_j + (1 - p) b_i b_j, by projected gradient steps; pairs that don't
-    fit (voters of one stem, or of different languages) are set aside as correlated and the rates fitted again.
-    Where no pair tells the classes apart (a lone voter of a language), each step's pull to the start, scaled to
-    the corpus's frequencies, decides.
+    Rates of voting on toxic (a) and on other texts (b) fit the single and the joint frequencies,
+    P(i, j) = p a_i a_j + (1 - p) b_i b_j: a voter's two rates are a least-squares solution given all others', each frequency
+    weighted by its sampling error, and sweeps go over the voters until they settle. start: the rates in the labelled
+    sample, on toxic and on other texts, of `support` rows each; they weigh as much as a sample of that size can tell, so
+    that many documents outweigh them, and a voter that meets no other (a lone one of a language) keeps them.
+    Pairs that don't fit (voters of one stem) are set aside as correlated and the rates fitted again. prior: the
+    share of toxic texts, if no voter tells the classes apart.
     """
+    size = len(sums)
     m, joint = sums / n, together / n
-    anchors = start * (m / (prior * start[0] + (1 - prior) * start[1] + 1e-12))
-    a, b = np.clip(anchors, 1e-6, 0.999)
-    off = ~np.eye(len(m), dtype=bool)
+    # The sample's share of toxic texts need not be the corpus's: the voters' frequencies tell that.
+    apart = (start[0] - start[1]).sum()
+    if apart > 0:
+        prior = float(np.clip((m - start[1]).sum() / apart, 0.005, 0.5))
+    counted = min(n, MOST_DOCUMENTS)
+    spread = lambda x, k: (np.maximum(x * (1 - x), 1 / (k + 1))) / max(k, 1.0)
+    anchors, held = start, [spread(rate, k) for rate, k in zip(start, support, strict=True)]
+    a, b = (np.clip(x, 1e-6, 0.999) for x in start)
+    off = ~np.eye(size, dtype=bool)
+    # Voters for one class meet more often than by chance, whatever their rates. Those that don't, as of two languages, tell
+    # nothing of each other.
+    off &= joint > np.outer(m, m)
     free = off.copy()
+    weight, single = 1 / spread(joint, counted), 1 / spread(m, counted)
     for _ in range(3):
-        for _ in range(rounds):
-            miss = np.where(free, prior * np.outer(a, a) + (1 - prior) * np.outer(b, b) - joint, 0)
-            single = prior * a + (1 - prior) * b - m
-            scale = 1 / (m + 1e-6)
-            a = a - 0.2 * (miss @ a * prior + 5 * single) * np.minimum(1, scale * 0.02)
-            b = b - 0.2 * (miss @ b * (1 - prior) + 5 * single) * np.minimum(1, scale * 0.002)
-            a = np.clip(a + PULL * (anchors[0] - a), 1e-4, 0.999)
-            b = np.clip(b + PULL * (anchors[1] - b), 1e-6, 0.999)
+        for _ in range(SWEEPS):
+            before = a.copy()
+            for i in range(size):
+                x, y, w = prior * a, (1 - prior) * b, np.where(free[i], weight[i], 0.0)
+                xx = (w * x * x).sum() + single[i] * prior**2 + 1 / held[0][i]
+                yy = (w * y * y).sum() + single[i] * (1 - prior) ** 2 + 1 / held[1][i]
+                xy = (w * x * y).sum() + single[i] * prior * (1 - prior)
+                u = (w * x * joint[i]).sum() + single[i] * prior * m[i] + anchors[0][i] / held[0][i]
+                v = (w * y * joint[i]).sum() + single[i] * (1 - prior) * m[i] + anchors[1][i] / held[1][i]
+                det = xx * yy - xy * xy
+                a[i] = np.clip((u * yy - v * xy) / det, 1e-6, 0.999)
+                b[i] = np.clip((v * xx - u * xy) / det, 1e-6, 0.999)
+            if np.abs(a - before).max(initial=0.0) < 1e-6:
+                break
         left = joint - prior * np.outer(a, a) - (1 - prior) * np.outer(b, b)
         deviation = np.sqrt(np.outer(m * (1 - m), m * (1 - m))) + 1e-9
-        free = off & (np.abs(left / deviation) < 0.25)
+        free = off & (np.abs(left / deviation) < CORRELATED)
     correlation = np.where(off, left / deviation, 0)
-    weight = 1 / (1 + np.where(correlation > 0.25, correlation, 0).sum(axis=1))
-    return LabelModel(prior, np.maximum(a, 1.0001 * b), b, weight, correlation)
+    shared = 1 / (1 + np.where(correlation > CORRELATED, correlation, 0).sum(axis=1))
+    return LabelModel(prior, np.maximum(a, 1.0001 * b), b, shared, correlation)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -220,7 +243,9 @@ def learn(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     share = min(1.0, 0.95 * sample / max(1, marks.count()))
     some = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").isNotNull())
-    rows = [(r.text, r.toxic) for r in texts.join(F.broadcast(some.limit(sample)), "doc_id").limit(sample).collect()]
+    chosen = texts.join(F.broadcast(some.limit(sample)), "doc_id").limit(sample)
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = [(r.text, r.toxic) for r in chosen.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("text", "toxic").collect()]
     if not 0 < sum(t for _, t in rows) < len(rows):
         return Model(Voters([], []), None, np.zeros(N_PATTERNS), -2.0)
     voters = mine(rows)
@@ -229,7 +254,7 @@ def learn(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     start = np.array([(votes[y == c].sum(axis=0) + 0.01) / ((y == c).sum() + 1) for c in (1, 0)])
     start = np.maximum(start, 1e-5)
     n, sums, together = moments(docs, voters)
-    model = fit_label_model(max(1, n), sums, together, prior, start)
+    model = fit_label_model(max(1, n), sums, together, prior, start, (y.sum(), len(y) - y.sum()))
     weights, bias = fit_linear(votes, model.posterior(votes))
     return Model(voters, model, weights, bias)
 
@@ -250,7 +275,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs without those whose score reaches the threshold, all columns as they were."""
+    """docs without those whose score reaches the threshold, all columns as they were.
+
+    Cases: null and empty texts stay. Repeated rows stay or go together. Rows without a doc_id are judged like others. An
+    empty table stays empty. Other columns, whatever their names, are carried along.
+    """
     names = docs.columns
     at = names.index("text")
     schema = docs.schema
