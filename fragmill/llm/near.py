@@ -3,11 +3,13 @@
 Texts become nodes, equal ones the same node. Shingles of a text stand in one order for all texts, rare ones first; two
 sets of the wanted similarity share a shingle among the first of each (prefix filter). In a group of texts that share one,
 128-bit SimHash prints of the whole sets stand as bit planes and are compared many at once; pairs beyond the radius, such
-as texts that have only a passage in common, go no further. What is left is compared by whole sets.
+as texts that have only a passage in common, go no further, nor do pairs whose 1024-bit prints are too far apart. What
+is left is compared by whole sets.
 
-First each text meets one print near its own in a group; what these links don't connect is compared pair by pair
-afterwards. The radius is over five standard deviations beyond what pairs of similarity 0.8 differ by, so that about
-one such pair in thirty million is lost there. Shingles and texts are known by 64-bit hashes.
+First each text meets one print near its own in a group, then the nearest of those it isn't linked with; what these links
+don't connect is compared pair by pair afterwards. The radius is over five standard deviations beyond what pairs of
+similarity 0.8 differ by, so that about one such pair in thirty million is lost there. Shingles and texts are known by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bits import leader_links, majority, mask, planes_of, probe, set_rows, short_links
+from .bits import leader_links, majority, mask, planes_of, probe, set_rows, short_links, within
 from .common import join_names, small_batches, written
 from .components import components
 
@@ -38,6 +40,8 @@ SPREAD = 2048
 BLOCK = 16384
 #: Of a text's shingles that are dealt to several tasks, those that give pairs in the first round.
 FIRST = 4
+#: Words of a wide print; nearest texts that a text's links are sought among before all pairs are compared.
+WIDE, NEAREST = 16, 2
 #: Buckets that a set's shingles are counted in.
 BUCKETS = 256
 
@@ -74,6 +78,22 @@ def sketch(h: np.ndarray) -> np.ndarray:
         return majority(np.stack([_mix(h + np.uint64(0x5851F42D4C957F2D)), _mix(h ^ np.uint64(0x14057B7EF767814F))], axis=1))
 
 
+def wide_print(h: np.ndarray) -> np.ndarray:
+    """1024 bits of a set of hashes: the SimHash over sixteen mixes of each."""
+    with np.errstate(over="ignore"):
+        salts = _mix(np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return majority(_mix(h[:, None] + salts[None, :]))
+
+
+def wide_radius(sizes: np.ndarray) -> np.ndarray:
+    """Differing bits, of 1024, that a pair of similarity 0.8 exceeds about once in a billion times, by the smaller set's size.
+
+    Such pairs differ by 155 bits on average, and up to 192 where sets are so small that many bits are ties; the
+    standard deviation is below 12.5.
+    """
+    return np.where(sizes >= 64, 232, 270)
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
     """doc_id long, node long, text binary. A null text is an empty one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -140,7 +160,9 @@ def _tokens(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray, int], k: int
                 ways = (-(-seen * every // SPREAD)).astype(np.uint64)
                 dealt = ways > 1
                 with np.errstate(over="ignore"):
-                    g = np.where(dealt, _mix(first + np.uint64(node % (1 << 64)) % np.maximum(ways, 1) * np.uint64(0x9E3779B97F4A7C15)), first)
+                    # Each shingle deals texts in a way of its own, so that the tasks' texts overlap.
+                    way = _mix(first ^ np.uint64(node % (1 << 64))) % np.maximum(ways, 1)
+                    g = np.where(dealt, _mix(first + way * np.uint64(0x9E3779B97F4A7C15)), first)
                 kind = np.where(dealt, np.where(np.cumsum(dealt) <= FIRST, 1, 2), 0).astype(np.int8)
                 sl = (len(h) << 32) + len(h) - np.arange(len(first), dtype=np.int64)
                 s0, s1 = (np.full(len(first), x, np.int64) for x in sketch(h).view(np.int64))
@@ -227,6 +249,21 @@ def second_round(node: np.ndarray, sl: np.ndarray, label: np.ndarray, p: int, q:
         yield np.concatenate(held)
 
 
+def nearest_pairs(node: np.ndarray, sl: np.ndarray, label: np.ndarray, p: int, q: int, prints: np.ndarray) -> np.ndarray:
+    """One group's rows outside of the largest label, each with the row of another label that has the nearest print."""
+    _, which = np.unique(label, return_inverse=True)
+    most = int(np.bincount(which).argmax())
+    found = []
+    for r in np.flatnonzero(which != most):
+        far = np.bitwise_count(prints ^ prints[r]).sum(axis=1, dtype=np.int64)
+        far[(which == which[r]) | ~may_link(sl, sl[r], p, q)] = 1 << 10
+        at = int(far.argmin())
+        if far[at] <= RADIUS:
+            found.append((node[r], node[at]))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return _pairs(a, b)
+
+
 def _by_group(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of whole groups, rows sorted by the first column."""
     parts, held = [], 0
@@ -258,17 +295,54 @@ def alike(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
     return int((merged[1:] == merged[:-1]).sum()) * (p + q) >= p * both
 
 
+def _prints(nodes: DataFrame, k: int) -> DataFrame:
+    """node long, size int, print binary; a row a text and task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            found = []
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if node not in done:
+                    done.add(node)
+                    h = shingles(text, k)
+                    found.append((node, len(h), wide_print(h).tobytes()))
+            node, size, held = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(held, pa.binary())], names=["node", "size", "print"])
+
+    return written(nodes.select("node", "text").mapInArrow(run, "node long, size int, print binary").distinct(), "wide-prints")
+
+
+def _hopeful(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs whose wide prints lie within the radius: planes against planes, many pairs to a word."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (planes_of(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE)) for c in ("x", "y"))
+            radii = wide_radius(np.minimum(np.asarray(batch.column("m")), np.asarray(batch.column("n"))))
+            keep = np.zeros(batch.num_rows, bool)
+            for radius in np.unique(radii).tolist():
+                near = within(lambda k, at: x[k : k + 8, at] ^ y[k : k + 8, at], len(x), radius, mask(radii == radius))  # noqa: B023
+                keep[set_rows(near)] = True
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    joined = pairs.join(prints.toDF("a", "m", "x"), "a").join(prints.toDF("b", "n", "y"), "b")
+    return written(joined.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long"), "near-pairs")
+
+
 def _released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of what is written and no longer referred to."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, k: int, p: int, q: int) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, prints: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """Of pairs a, b those whose sets have the similarity."""
-    pairs = written(pairs, "near-pairs")
+    pairs = _hopeful(pairs, prints)
     _released(pairs.sparkSession)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = nodes.groupBy("node").agg(F.first("text").alias("text")).join(ends, "node", "left_semi")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,32 +379,46 @@ def linked(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BL
     del tokens
     _released(docs.sparkSession)
     pairs = lambda kind: found.where(f"kind = {kind}").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = _linked(pairs(0), nodes, k, p, q)
+    prints = _prints(nodes, k)
+    links = _linked(pairs(0), nodes, prints, k, p, q)
     _released(docs.sparkSession)
-    groups = written(components(links), "near-groups")
-    label = lambda df, node, name: df.join(groups.toDF(node, name), node, "left").withColumn(name, F.coalesce(name, node))
+    tried, groups = pairs(0), written(components(links), "near-groups")
     large = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"), F.col("z").alias("sl"), "s0", "s1")
-    large = label(large, "node", "label")
-    # Texts of one label have nothing left to find.
-    open_ = large.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-
-    def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, node, sl, name, s0, s1 in _by_group(batches):
-            edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                for pair in second_round(node[lo:hi], sl[lo:hi], name[lo:hi], p, q, both((s0[lo:hi], s1[lo:hi]))):
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-    n_blocks = F.ceil(F.col("rows") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
-    rows = large.join(open_.select("token", "rows"), "token").withColumn("p", F.explode(blocks)).select(F.xxhash64("token", "p.i", "p.j").alias("g"), "node", "sl", "label", "s0", "s1")
-    more = rows.repartition("g").sortWithinPartitions("g").mapInArrow(second, "a long, b long")
-    few = label(label(pairs(2), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
-    more = written(more.union(few).distinct().join(pairs(0), ["a", "b"], "left_anti"), "near-more")
-    if more.isEmpty():
-        return groups
-    return components(links.union(_linked(more, nodes, k, p, q)))
+    label = lambda df, node, name: df.join(groups.toDF(node, name), node, "left").withColumn(name, F.coalesce(name, node))
+
+    def open_rows() -> DataFrame:
+        """g, node, sl, label, s0, s1: large groups in pairs of blocks. Texts of one label have nothing left to find."""
+        named = label(large, "node", "label")
+        open_ = named.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "rows")
+        n_blocks = F.ceil(F.col("rows") / block).cast("int")
+        own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
+        rows = named.join(open_, "token").withColumn("p", F.explode(blocks)).select(F.xxhash64("token", "p.i", "p.j").alias("g"), "node", "sl", "label", "s0", "s1")
+        return rows.repartition("g").sortWithinPartitions("g")
+
+    def each_group(pairs_of):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g, node, sl, name, s0, s1 in _by_group(batches):
+                edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    for pair in pairs_of(node[lo:hi], sl[lo:hi], name[lo:hi], p, q, both((s0[lo:hi], s1[lo:hi]))):
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+        return run
+
+    # What lies nearest is linked first, so that few pairs of a large cluster are left to compare.
+    for last in [False] * NEAREST + [True]:
+        pairs_of = second_round if last else lambda *group: [nearest_pairs(*group)]
+        more = open_rows().mapInArrow(each_group(pairs_of), "a long, b long")
+        if last:
+            more = more.union(label(label(pairs(2), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b"))
+        more = written(more.distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
+        if more.isEmpty():
+            continue
+        tried, links = tried.union(more), links.union(_linked(more, nodes, prints, k, p, q))
+        _released(docs.sparkSession)
+        groups = written(components(links), "near-groups")
+    return groups
 
 
 def _rows(docs: DataFrame, **options) -> DataFrame:
