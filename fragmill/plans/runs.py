@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formats, kmers
-from ..operators import assign, collapse, estimate, lengths, rollup
+from ..operators import assign, collapse, estimate, lengths, rollup, simulate
 from ..shared import temporary, written
 from ..sources import index, readers, sinks
 from ..streaming import accumulate
@@ -230,6 +230,14 @@ def _(spark, sf):
     return p.select("p_partkey", "packed", kmers.unpack(F.col("packed")).alias("u")).select("p_partkey", "packed", "u.tid", "u.offset")
 
 
+@query("mutation_rate", f"WITH {SEQUENCES}, x AS (SELECT length(seq) AS n, {_GCN.format('seq')} - length(seq) + length(translate(seq, 'C', '')) AS g FROM seqs) SELECT sum(n)::BIGINT AS bases, sum(g)::BIGINT AS differing, round(sum(g) / sum(n), 12) AS rate FROM x")
+def _(spark, sf):
+    """Sequences against themselves with T for every G."""
+    s = sequences(spark, sf)
+    got = simulate.mutation_rate(s, s.withColumn("seq", F.translate("seq", "G", "T")))
+    return got.select("bases", "differing", F.round("rate", 12).alias("rate"))
+
+
 _STEP = 16
 
 

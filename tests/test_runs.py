@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragmill.functions import rolling, tables
-from fragmill.operators import assign
+from fragmill.operators import assign, simulate
 from fragmill.plans import experiment
 from fragmill.sources import index, libraries, readers, sinks
 from fragmill.streaming import accumulate
@@ -29,6 +29,16 @@ def test_rolling_codes():
         rolling.codes("ACGT", 32)
 
 
+def test_mutations(spark):
+    seqs = spark.createDataFrame([(k, "ACGTN" * 400) for k in range(10)] + [(11, ""), (12, None)], "tid int, seq string")
+    changed = simulate.mutated(seqs, 0.1, seed=3)
+    assert sorted(map(tuple, changed.collect()), key=str) == sorted(map(tuple, simulate.mutated(seqs, 0.1, seed=3).collect()), key=str)
+    r = simulate.mutation_rate(seqs, changed).first()
+    assert r.bases == 20_000 and r.rate == pytest.approx(0.08, abs=0.01)
+    assert simulate.differences(seqs, changed).where("n = 0").count() == 1
+    assert all(r.seq is None or set(r.seq[4::5]) <= {"N"} for r in changed.collect())
+
+
 def test_kmers_in_sql(spark):
     tables.register(spark)
     assert [tuple(r) for r in spark.sql("SELECT * FROM kmers('ACNGT', 2) ORDER BY pos").collect()] == [(0, 1), (3, 11)]
