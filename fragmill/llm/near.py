@@ -435,9 +435,9 @@ def near_groups(docs: DataFrame, **options) -> DataFrame:
     Texts link when the Jaccard similarity of their k-word shingle sets (options k, similarity) is at
     least `similarity`; a group is what links connect. Texts without a word are all alike.
     """
-    rows = _rows(docs, **options)
+    rows = written(_rows(docs, **options), "near-rows")
     least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component").select("doc_id", "component_id")
+    return join_names(rows, written(least, "near-least"), "component").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
@@ -447,7 +447,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """
     rows = written(_rows(docs, **options).groupBy("doc_id", "node", "component").agg(F.count("*").alias("n")), "near-rows")
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
-    marked = rows.join(best, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node")))
+    marked = join_names(rows, written(best, "near-best"), "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node")))
     marked = written(marked.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "stays"), "near-marked")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64(text).alias("_key"))
