@@ -6,8 +6,9 @@ sets of the wanted similarity share a shingle among the first of each (prefix fi
 as texts that have only a passage in common, go no further, nor do pairs whose 1024-bit prints are too far apart. What
 is left is compared by whole sets.
 
-First each text meets one print near its own in a group, then the nearest of those it isn't linked with; what these links
-don't connect is compared pair by pair afterwards. The radius is over five standard deviations beyond what pairs of
+First each text meets one print near its own in a group, then the nearest of those it isn't linked with. What these links
+don't connect and what may still link is brought together by cluster, so that a text's set travels once for a block of a
+cluster and not once for a pair, and compared there pair by pair. The radius is over five standard deviations beyond what pairs of
 similarity 0.8 differ by, so that about one such pair in thirty million is lost there. Shingles and texts are known by
 64-bit hashes.
 """
@@ -15,7 +16,7 @@ similarity 0.8 differ by, so that about one such pair in thirty million is lost
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -38,6 +39,10 @@ TIGHT, RADIUS = 28, 48
 SPREAD = 2048
 #: Rows of a shingle above which the second round cuts it into pairs of blocks.
 BLOCK = 16384
+#: Rows and bytes of a cluster above which it is cut into pairs of blocks, where prints and where whole sets are compared.
+PRINT_BLOCK, SET_BLOCK, BLOCK_BYTES = 8192, 2048, 16 << 20
+#: Rows up to which a table of names goes to every task (17 bytes each and a hash table), so that whole texts stay where they are.
+SENT = 2_000_000
 #: Of a text's shingles that are dealt to several tasks, those that give pairs in the first round.
 FIRST = 4
 #: Words of a wide print; nearest texts that a text's links are sought among before all pairs are compared.
@@ -249,6 +254,79 @@ def second_round(node: np.ndarray, sl: np.ndarray, label: np.ndarray, p: int, q:
         yield np.concatenate(held)
 
 
+class _Joined:
+    """Rows by what they are joined with: sets of rows, numbered."""
+
+    def __init__(self, which: np.ndarray):
+        self.which = which.copy()
+
+    def join(self, row: int, rows: np.ndarray) -> np.ndarray:
+        """Joins a row with others; of those the ones that were needed, one a set."""
+        sets, first = np.unique(self.which[rows], return_index=True)
+        fresh = sets != self.which[row]
+        if fresh.any():
+            self.which[np.isin(self.which, sets[fresh])] = self.which[row]
+        return rows[first[fresh]]
+
+
+def second_links(node: np.ndarray, sl: np.ndarray, label: np.ndarray, p: int, q: int, prints: np.ndarray) -> np.ndarray:
+    """One group's second_round() as fewer pairs than rows, which connect the same rows."""
+    _, which = np.unique(label, return_inverse=True)
+    most = int(np.bincount(which).argmax())
+    planes, joined = planes_of(prints), _Joined(np.arange(len(node)))
+    found = [np.zeros((0, 2), np.int64)]
+    for r in np.flatnonzero(which != most).tolist():
+        other = (joined.which != joined.which[r]) & (which != which[r])
+        other &= may_link(sl, sl[r], p, q)
+        rows = joined.join(r, set_rows(probe(planes, r, RADIUS, mask(other))))
+        found.append(_pairs(node[rows], np.full(len(rows), node[r])))
+    return np.concatenate(found)
+
+
+def _wide_near(prints: np.ndarray, sizes: np.ndarray, r: int, other: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Of the rows set in other, those whose sizes and wide prints allow the similarity p/q with row r."""
+    rows = np.flatnonzero(other & (np.minimum(sizes, sizes[r]) * q >= np.maximum(sizes, sizes[r]) * p))
+    far = np.bitwise_count(prints[rows] ^ prints[r]).sum(axis=1, dtype=np.int64)
+    return rows[far <= wide_radius(np.minimum(sizes[rows], sizes[r]))]
+
+
+def print_links(node: np.ndarray, sizes: np.ndarray, label: np.ndarray, prints: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Fewer pairs than rows, which connect what pairs of different labels with near wide prints connect."""
+    _, which = np.unique(label, return_inverse=True)
+    most = int(np.bincount(which).argmax())
+    joined = _Joined(np.arange(len(node)))
+    found = [np.zeros((0, 2), np.int64)]
+    for r in np.flatnonzero(which != most).tolist():
+        rows = joined.join(r, _wide_near(prints, sizes, r, (joined.which != joined.which[r]) & (which != which[r]), p, q))
+        found.append(_pairs(node[rows], np.full(len(rows), node[r])))
+    return np.concatenate(found)
+
+
+def set_links(node: np.ndarray, sets: list[np.ndarray], label: np.ndarray, prints: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Pairs of the similarity p/q which, with the labels, connect all that such pairs connect."""
+    _, which = np.unique(label, return_inverse=True)
+    most, at = int(np.bincount(which).argmax()), np.arange(len(node))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    joined, held = _Joined(which), np.zeros(len(names), bool)
+    found = [np.zeros((0, 2), np.int64)]
+    for r in np.flatnonzero(which != most).tolist():
+        # Of two rows outside of the largest label the first looks at the other.
+        rows = _wide_near(prints, sizes, r, (joined.which != joined.which[r]) & ((which == most) | (at > r)), p, q)
+        if not len(rows):
+            continue
+        own, ends = flat[starts[r] : starts[r] + sizes[r]], np.cumsum(sizes[rows])
+        held[own] = True
+        there = held[flat[np.repeat(starts[rows] - ends + sizes[rows], sizes[rows]) + np.arange(ends[-1])]]
+        held[own] = False
+        total = np.concatenate([[0], np.cumsum(there)])
+        shared = total[ends] - total[ends - sizes[rows]]
+        rows = joined.join(r, rows[shared * (p + q) >= p * (sizes[rows] + sizes[r])])
+        found.append(_pairs(node[rows], np.full(len(rows), node[r])))
+    return np.concatenate(found)
+
+
 def nearest_pairs(node: np.ndarray, sl: np.ndarray, label: np.ndarray, p: int, q: int, prints: np.ndarray) -> np.ndarray:
     """One group's rows outside of the largest label, each with the row of another label that has the nearest print."""
     _, which = np.unique(label, return_inverse=True)
@@ -295,6 +373,87 @@ def alike(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
     return int((merged[1:] == merged[:-1]).sum()) * (p + q) >= p * both
 
 
+def _each_cluster(rows: DataFrame, most_rows: int, data: str, links_of: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """a long, b long: links_of() whole clusters of rows (cluster, the binary column `data`, others), large ones in pairs of blocks."""
+    sums = rows.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length(data)).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("rows") / most_rows, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    # Clusters of more than a block are fewer than the rows by that much.
+    many = written(sums.select("cluster", blocks.alias("blocks")).where("blocks > 1"), "near-blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pair = F.when(F.col("blocks") > 1, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j"))))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    dealt = rows.join(F.broadcast(many), "cluster", "left").withColumn("p", F.explode(F.coalesce(pair, whole)))
+    dealt = dealt.select(F.xxhash64("cluster", "p.i", "p.j").alias("g"), *[c for c in rows.columns if c != "cluster"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            pairs = links_of(pa.concat_batches(parts))
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        last, held = None, []
+        for batch in batches:
+            g = np.asarray(batch.column("g"))
+            edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if held and g[lo] != last:
+                    yield found(held)
+                    held = []
+                last = g[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield found(held)
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+
+
+def _wide(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
+
+
+def _clustered(edges: DataFrame, labels: Callable[[DataFrame], DataFrame], nodes: DataFrame, prints: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """a, b: links that connect what links among pairs of different labels connect, for edges that connect the ends of every such pair.
+
+    labels(): a table of node with the column label. Clusters are cut down by wide prints first, so that few sets are needed.
+    """
+    spark = edges.sparkSession
+
+    def by_prints(rows: pa.RecordBatch) -> np.ndarray:
+        node, sizes, label = (np.asarray(rows.column(c)) for c in ("node", "size", "label"))
+        return print_links(node, sizes.astype(np.int64), label, _wide(rows.column("print")), p, q)
+
+    def by_sets(rows: pa.RecordBatch) -> np.ndarray:
+        sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
+        return set_links(np.asarray(rows.column("node")), sets, np.asarray(rows.column("label")), _wide(rows.column("print")), p, q)
+
+    clusters = lambda edges: written(components(edges).withColumnRenamed("component", "cluster"), "near-clusters")
+    rows = labels(clusters(edges).join(prints, "node"))
+    rows = written(rows.select("cluster", "node", "label", "size", "print"), "near-rows")
+    close = written(_each_cluster(rows, PRINT_BLOCK, "print", by_prints).distinct(), "near-close")
+    _released(spark)
+    close = clusters(close)
+    named = rows.drop("cluster").join(close, "node")
+    whole = named.join(_sets(nodes, close.select("node"), k), "node")
+    return written(_each_cluster(written(whole, "near-sets"), SET_BLOCK, "set", by_sets).distinct(), "near-links")
+
+
+def _sent(names: DataFrame) -> DataFrame:
+    """A written table for a join: sent to every task if it has SENT rows at most."""
+    return F.broadcast(names) if names.count() <= SENT else names
+
+
+def _sets(nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node long, set binary of the wanted nodes, which are distinct."""
+    # Texts that aren't wanted go before the others are moved.
+    texts = nodes.join(_sent(written(wanted, "near-wanted")), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, k).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
+
+    return texts.mapInArrow(sets, "node long, set binary")
+
+
 def _prints(nodes: DataFrame, k: int) -> DataFrame:
     """node long, size int, print binary; a row a text and task."""
 
@@ -343,12 +502,6 @@ def _linked(pairs: DataFrame, nodes: DataFrame, prints: DataFrame, k: int, p: in
     pairs = _hopeful(pairs, prints)
     _released(pairs.sparkSession)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = nodes.groupBy("node").agg(F.first("text").alias("text")).join(ends, "node", "left_semi")
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t, k).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,8 +509,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, prints: DataFrame, k: int, p: in
             keep = [alike(x, y, p, q) for x, y in zip(*sets, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = written(texts.mapInArrow(sets, "node long, set binary"), "shingle-sets")
-    del texts
+    whole = written(_sets(nodes, ends, k), "shingle-sets")
     _released(pairs.sparkSession)
     joined = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
     return written(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
@@ -407,18 +559,22 @@ def linked(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BL
         return run
 
     # What lies nearest is linked first, so that few pairs of a large cluster are left to compare.
-    for last in [False] * NEAREST + [True]:
-        pairs_of = second_round if last else lambda *group: [nearest_pairs(*group)]
-        more = open_rows().mapInArrow(each_group(pairs_of), "a long, b long")
-        if last:
-            more = more.union(label(label(pairs(2), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b"))
+    for _ in range(NEAREST):
+        more = open_rows().mapInArrow(each_group(lambda *group: [nearest_pairs(*group)]), "a long, b long")
         more = written(more.distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
         if more.isEmpty():
-            continue
+            break
         tried, links = tried.union(more), links.union(_linked(more, nodes, prints, k, p, q))
         _released(docs.sparkSession)
         groups = written(components(links), "near-groups")
-    return groups
+    others = label(label(pairs(2), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
+    edges = open_rows().mapInArrow(each_group(lambda *group: [second_links(*group)]), "a long, b long").union(others)
+    edges = written(edges.distinct(), "near-edges")
+    if edges.isEmpty():
+        return groups
+    links = links.union(_clustered(edges, lambda df: label(df, "node", "label"), nodes, prints, k, p, q))
+    _released(docs.sparkSession)
+    return written(components(links), "near-groups")
 
 
 def _rows(docs: DataFrame, **options) -> DataFrame:
@@ -452,8 +608,8 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64(text).alias("_key"))
     same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_node"))
-    kept = whole.join(marked, same, "left_anti").select("_doc.*")
+    kept = whole.join(_sent(marked), same, "left_anti").select("_doc.*")
     repeated = marked.where("stays")
     if repeated.isEmpty():
         return kept
-    return kept.union(whole.join(repeated, same, "left_semi").dropDuplicates(["_doc_id", "_key"]).select("_doc.*"))
+    return kept.union(whole.join(_sent(repeated), same, "left_semi").dropDuplicates(["_doc_id", "_key"]).select("_doc.*"))

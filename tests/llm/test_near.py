@@ -131,3 +131,93 @@ def test_counts_never_exceed_the_difference():
         x, y = near.counts(a).astype(int), near.counts(b).astype(int)
         assert abs(x - y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
         assert not abs(x - near.counts(a).astype(int)).sum()
+
+
+def edited(rng, base, edits):
+    w = list(base)
+    for at in rng.sample(range(len(base)), edits):
+        w[at] = word(rng)
+    return " ".join(w)
+
+
+def test_no_table_holds_a_row_for_each_pair_of_a_group(spark, monkeypatch):
+    """Copies of one text that are a little too far apart to link: all must be compared, none travels once for each other."""
+    rng, n, sizes = random.Random(12), 200, []
+    base = prose(rng, 250)
+    texts = [edited(rng, base, 5) for _ in range(n)]
+    plain = near.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        sizes.append((out.count(), label))
+        return out
+
+    monkeypatch.setattr(near, "written", counted)
+    got = {r.doc_id: r.component_id for r in near.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = exact_groups(texts)
+    assert got == dict(enumerate(want)) and len(set(want)) > n / 2
+    held = {"near-found", "near-tokens"}  # a row a text and shingle
+    assert max(x for x in sizes if x[1] not in held)[0] <= 4 * n
+
+
+@pytest.mark.parametrize("rows,size", [(3, 1 << 24), (10_000, 4096)])
+def test_clusters_in_blocks_give_the_same_groups(spark, monkeypatch, rows, size):
+    monkeypatch.setattr(near, "PRINT_BLOCK", rows)
+    monkeypatch.setattr(near, "SET_BLOCK", rows)
+    monkeypatch.setattr(near, "BLOCK_BYTES", size)
+    rng = random.Random(13)
+    base = prose(rng, 150)
+    texts = [edited(rng, base, k % 5) for k in range(60)] + [" ".join(base[k:] + prose(rng, k)) for k in range(0, 80, 4)]
+    got = {r.doc_id: r.component_id for r in near.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(exact_groups(texts)))
+
+
+def test_links_of_a_cluster_connect_what_its_pairs_connect():
+    import numpy as np
+
+    rng = random.Random(14)
+    base = prose(rng, 150)
+    texts = [edited(rng, base, k % 7) for k in range(70)] + [" ".join(prose(rng, k % 3)) for k in range(6)]
+    sets = [near.shingles(t.encode()) for t in texts]
+    node, prints = np.random.default_rng(1).permutation(len(texts)), np.stack([near.wide_print(h) for h in sets])
+    for label in (node, np.where(node % 3 == 0, 0, node), np.zeros_like(node)):
+        links = {tuple(x) for x in near.set_links(node, sets, label, prints, 4, 5).tolist()}
+        close = near.print_links(node, np.array([len(h) for h in sets]), label, prints, 4, 5).tolist()
+        by = dict(zip(node.tolist(), zip(sets, label.tolist(), strict=True), strict=True))
+        pairs = [(a, b) for a, b in itertools.combinations(sorted(by), 2) if by[a][1] != by[b][1] and near.alike(by[a][0], by[b][0], 4, 5)]
+        assert links <= set(pairs)
+
+        def roots(edges, same):
+            up = {x: x for x in by}
+
+            def root(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for a, b in [*edges, *same]:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+            return root
+
+        same = [(a, b) for a, b in itertools.combinations(by, 2) if by[a][1] == by[b][1]]
+        got, want = roots(links, same), roots(pairs, same)
+        assert [got(x) for x in by] == [want(x) for x in by]
+        near_prints = roots(close, [])
+        assert all(near_prints(a) == near_prints(b) for a, b in pairs) and len(close) < len(texts)
+
+
+def test_texts_stay_where_they_are_beside_few_names(spark, monkeypatch):
+    """Whole documents are not moved for the names of those that go, whatever Spark thinks of the names' size."""
+    rng = random.Random(15)
+    rows = spark.createDataFrame([(k, " ".join(prose(rng, 30))) for k in range(8)], "doc_id long, text string")
+    rows = rows.union(rows.selectExpr("doc_id + 100", "text"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near.deduplicated(rows)
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(8))
+        monkeypatch.setattr(near, "SENT", 0)
+        assert sorted(r.doc_id for r in near.deduplicated(rows).collect()) == list(range(8))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
