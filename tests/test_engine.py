@@ -1,5 +1,7 @@
 """The engine's operators on small cases; truth tables of library formats; round trips of sources and sinks."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +246,17 @@ def test_genes(spark):
     assert {r.name: r.gene for r in rollup.gene_of(names, t2g).collect()} == {"a": "a", "b": "G1", "c": "c", "e": "e"}
 
 
+def test_next_gene_of_many_names_in_one_range(spark):
+    """Work that grows with the square of a range's names would take many minutes here."""
+    n, began = 150_000, time.time()
+    names = spark.range(n, numPartitions=1).select(F.format_string("t%07d", "id").alias("name"))
+    t2g = names.where("substr(name, 8, 1) = '7' AND name < 't0149000'").select(F.col("name").alias("transcript"), F.concat(F.lit("g"), "name").alias("gene"))
+    got = {r.name: r.gene for r in rollup.gene_as_of(names, t2g).collect()}
+    following = lambda k: k + (7 - k) % 10
+    assert got == {f"t{k:07d}": f"gt{following(k):07d}" if following(k) < 149_000 else f"t{k:07d}" for k in range(n)}
+    assert time.time() - began < 60
+
+
 def test_resampling_keeps_counts_and_repeats(spark):
     eq = spark.createDataFrame([([0, 1], 100), ([0], 50), ([1, 2], 30)], "label array<int>, count long")
     one, two = (sorted(map(tuple, resample.gibbs(eq, np.ones(3), np.ones(3), 3, chains=2, seed=4).collect())) for _ in range(2))
