@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fragmill.functions import rolling, tables
 from fragmill.operators import assign, simulate
-from fragmill.plans import experiment
+from fragmill.plans import catalog, experiment
 from fragmill.sources import index, libraries, readers, sinks
 from fragmill.streaming import accumulate
 
@@ -194,6 +194,29 @@ def test_too_few_pairs_give_the_priors_lengths(spark, world):
     assert {r.mate_status for r in alone.collect()} == {assign.SINGLE} and alone.count() == 240
 
 
+def test_lengths_stay_the_priors_where_that_is_asked_for(spark, world):
+    """As the SQL of em_bias_aware_fixed has it on tables of any size: here 240 pairs are well over the quota."""
+    at, _, _ = world
+    reads = readers.paired_files(spark, [str(at / "r1.fq")], [str(at / "r2.fq")])
+    targets = readers.targets(spark, str(at / "t.fa"))
+    hits = experiment.hits_of(reads, targets, k=21)
+    run = experiment.quant(hits, targets, experiment.Options(num_frag_samples=100, prior_lengths=True))
+    few = experiment.quant(hits, targets, experiment.Options(num_frag_samples=1000))
+    assert not run.observed_lengths and experiment.quant(hits, targets, experiment.Options(num_frag_samples=100)).observed_lengths
+    eff = lambda r: {x.tid: x.eff_length for x in r.quant.collect()}
+    assert eff(run) == pytest.approx(eff(few))
+
+
+def test_the_bias_aware_query_takes_the_priors_lengths(spark, monkeypatch):
+    """Its SQL never looks at observed lengths; the quota itself stays what it is."""
+    from fragmill.plans import runs
+
+    asked, quant = [], experiment.quant
+    monkeypatch.setattr(experiment, "quant", lambda h, t, options: asked.append(options) or quant(h, t, options))
+    assert runs.experiment is experiment and catalog.QUERIES["em_bias_aware_fixed"](spark, "/root/testdata/sf0.001").count()
+    assert asked[0].prior_lengths and asked[0].num_frag_samples == experiment.Options().num_frag_samples
+
+
 def test_a_streams_quota_holds_over_batches(spark, tmp_path):
     for k in range(4):
         spark.range(10 * k, 10 * k + 10).select(F.col("id").alias("frag_id"), (F.col("id") % 7).alias("frag_len")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}.parquet"))
