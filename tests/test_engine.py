@@ -431,3 +431,20 @@ def test_entry_lists_queries(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_steps_over_many_blocks_agree_with_those_in_the_driver(spark, monkeypatch):
+    """Classes in many small blocks, sums in several chunks, some added in a shuffle; beyond the driver a step's job reads packed arrays, a row a block."""
+    rng = np.random.default_rng(6)
+    classes = {tuple(sorted(rng.integers(0, 300, rng.integers(1, 6)).tolist())): int(rng.integers(1, 9)) for _ in range(2000)}
+    eq = spark.createDataFrame([(list(t), n) for t, n in classes.items()], "label array<int>, count long")
+    lens = spark.range(300).select(F.col("id").cast("int").alias("tid"), (50.0 + F.col("id")).alias("eff_length"))
+    held = estimate.Problem(eq, lens)
+    for name, value in (("LOCAL_MEMBERS", 0), ("BLOCK_MEMBERS", 100), ("CHUNK", 70), ("DRIVER_SUMS", 400)):
+        monkeypatch.setattr(estimate, name, value)
+    far = estimate.Problem(eq, lens)
+    assert far.local is None and far.blocks.count() >= 4
+    assert far.mapped == held.mapped and (far.active == held.active).all() and far.single == pytest.approx(held.single)
+    assert far.fixed(5) == pytest.approx(held.fixed(5)) and far.fixed(3, True) == pytest.approx(held.fixed(3, True))
+    rows = resample.bootstrap(eq, lens, 3, seed=2, most=4).collect()
+    assert len(rows) == 900 and all(sum(r.value for r in rows if r.sample_id == k) == pytest.approx(held.mapped) for k in range(3))
