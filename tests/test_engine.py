@@ -470,3 +470,40 @@ def test_places_of_many_wanted_kmers_and_of_stretches(spark, monkeypatch):
     for c, k, _ in plain:
         want.setdefault(k, []).append(c)
     assert got == {k: (len(x) * (2 if k == 7 else 1), len(set(x))) for k, x in want.items()}
+
+
+def test_weights_stay_with_their_classes(spark, monkeypatch):
+    """No member is shuffled where lengths can be sent; the join gives the same beyond that."""
+    eq = spark.createDataFrame([([1, 2], 5), ([2, 2, 7], 3), ([7], 1), ([1, 99], 4), ([99], 2), ([3], 6)], "label array<int>, count long")
+    lens = spark.createDataFrame([(7, 50.0), (1, 100.0), (2, 300.0), (3, None)], "tid int, eff_length double")
+    plain = lambda df: sorted((tuple(r.label), *[x if isinstance(x, int) else round(x, 12) for x in r[1:]]) for r in df.select("label", *[c for c in df.columns if c != "label"]).collect())
+    one, two = collapse.weights(eq, lens), collapse.weights(eq, lens, summed=True)
+    assert "Exchange" not in two._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    got = plain(one.select("label", "count", "ord", "tid", "w")), plain(two.select("label", "tid", "w"))
+    monkeypatch.setattr(collapse, "SENT", 2)
+    assert got == (plain(collapse.weights(eq, lens).select("label", "count", "ord", "tid", "w")), plain(collapse.weights(eq, lens, summed=True).select("label", "tid", "w")))
+    assert {r[1]: r[2] for r in got[1] if r[0] == (2, 2, 7)} == pytest.approx({2: 0.25, 7: 0.75}) and len(got[1]) == 7
+
+
+def test_mates_files_are_not_read_by_one_task(spark, monkeypatch):
+    """reads_paired_zip read all documents in one task to write them; the files' lines alone come together."""
+    from fragmill.plans import catalog, runs  # noqa: F401
+
+    def refused(self, n):
+        raise AssertionError("one task reads all")
+
+    monkeypatch.setattr(type(spark.range(0)), "coalesce", refused)
+    assert catalog.QUERIES["reads_paired_zip"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_gc_masses_are_counted_once(spark):
+    """The expected histogram and the corrected lengths come from one table of masses, dealt to all tasks."""
+    rng = np.random.default_rng(5)
+    t = spark.createDataFrame([(k, "".join(rng.choice(list("ACGT"), n)), n, n - 20.0, n - 20.0, 1.0) for k, n in enumerate((3, 40, 200, 700))], "tid int, seq string, length int, unprocessed double, eff_length double, alpha double").where("length > 20").coalesce(1)
+    fl, mass = bias.gc_steps([(k, min(1.0, k / 40)) for k in range(50)])
+    held = bias.gc_histograms(t, fl, mass)
+    assert held.count() == 3 and "Exchange" in held._jdf.queryExecution().executedPlan().toString()
+    got = {r.bin: r.x for r in bias.expected_gc(t, fl, mass, held=held).collect()}
+    assert got == pytest.approx({r.bin: r.x for r in bias.expected_gc(t, fl, mass).collect()})
+    per = {r.tid: np.frombuffer(r.h).sum() for r in held.collect()}
+    assert per[3] == pytest.approx(sum(m * min(700 - 6, 700 - n + 1) for n, m in zip(fl.tolist(), mass.tolist(), strict=True)))
